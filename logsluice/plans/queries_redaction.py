@@ -104,12 +104,20 @@ def redact_custom(spark, folder):
 _EMAIL_VALUE = P.VALUE_PATTERNS["EMAIL_ADDRESS"]
 
 
+_PHONE_VALUE = P.VALUE_PATTERNS["PHONE_NUMBER"]
+
+
 @query("redact_context", f"""
-WITH c AS ({O.CONTACTS})
+WITH c AS ({O.CONTACTS}),
+p AS (SELECT *, strpos(raw, phone) - 1 AS pos FROM c),
+k AS (SELECT *, regexp_extract(substr(raw, greatest(pos - 50, 0) + 1, pos + length(phone) + 50 - greatest(pos - 50, 0)),
+  {O.lit(P.KV_KEY)}, 1) AS key FROM p)
 SELECT c_custkey, CASE c_custkey % 3
-  WHEN 0 THEN regexp_replace(raw, {O.lit('mail=' + _EMAIL_VALUE)}, 'mail=[REDACTED_EMAIL_ADDRESS]')
+  WHEN 0 THEN regexp_replace(
+    regexp_replace(raw, {O.lit('mail=' + _EMAIL_VALUE)}, 'mail=[REDACTED_EMAIL_ADDRESS]', 'g'),
+    key || {O.lit('=(' + _PHONE_VALUE + ')')}, key || '=[REDACTED_PHONE_NUMBER]', 'g')
   WHEN 1 THEN '{{"ssn":"[REDACTED_US_SSN]","card":"'||card||'","seg":"'||c_mktsegment||'"}}'
-  ELSE raw END AS redacted FROM c""")
+  ELSE raw END AS redacted FROM k""")
 def redact_context(spark, folder):
     lines = customer_contacts(spark, folder).select("c_custkey", "raw")
     names = [EMAIL, PHONE, SSN]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from logsluice.functions import extract as X
 from logsluice.functions import patterns as P
+from logsluice.functions.rows import each
 from logsluice.functions.typing import infer_field_type, infer_json_type, pii_flag
 from logsluice.operators.formats import detect_format
 from logsluice.sources.catalog import existing_columns
@@ -86,7 +87,7 @@ def field_records(
 ) -> DataFrame:
     """One row per event and field with type, confidence and personal-data flag."""
     conf = confidence if isinstance(confidence, Column) else F.lit(float(confidence))
-    rows = df.select(*keys, conf.alias("confidence"), F.posexplode(pairs).alias("pos", "p"))
+    rows = each(df, [*keys, conf.alias("confidence")], pairs, "p", "pos")
     return rows.select(
         *keys, "pos", F.col("p.name").alias("name"), F.col("p.value").alias("value"),
         infer_field_type(F.col("p.value")).alias("type"), "confidence",
@@ -104,7 +105,7 @@ def format_confidence(fmt: Column) -> Column:
 
 def json_field_records(df: DataFrame, keys: Sequence[str], raw: str) -> DataFrame:
     """Top-level JSON fields whose own kind (number, boolean) decides the type."""
-    rows = df.select(*keys, F.posexplode(X.json_pairs(F.col(raw))).alias("pos", "p"))
+    rows = each(df, keys, X.json_pairs(F.col(raw)), "p", "pos")
     text = X.variant_text(F.col("p.value"))
     return rows.select(
         *keys, "pos", F.col("p.name").alias("name"), text.alias("value"),
@@ -118,8 +119,6 @@ def flatten_json(df: DataFrame, keys: Sequence[str], raw: str, schema: str) -> D
 
     The schema comes from a profile or the user, so a line is parsed once and only for its leaves.
     """
-    from pyspark.sql import types as T
-
     parsed = df.select(*keys, F.from_json(raw, schema).alias("_j"))
     leaves: list[tuple[str, str]] = []
     arrays: list[tuple[str, str]] = []
@@ -143,8 +142,9 @@ def flatten_json(df: DataFrame, keys: Sequence[str], raw: str, schema: str) -> D
 
 
 def nested_json_schema(df: DataFrame, raw: str) -> str:
-    """One schema that covers every line: schemas per line are merged by a map-side aggregate."""
-    return df.select(F.schema_of_variant_agg(F.try_parse_json(raw)).alias("s")).first()["s"]
+    """One schema that covers every line: the schemas of the lines merge in a map-side aggregate."""
+    merged = df.select(F.schema_of_variant_agg(F.try_parse_json(raw)).alias("s")).first()["s"]
+    return merged.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
 
 
 # --- Existing fields ----------------------------------------------------------------------------
@@ -256,8 +256,6 @@ def drift(records: DataFrame, by: str = "sourcetype", ts: str = "ts", unit: str
 
     The window runs over hours with news, which are few, not over records.
     """
-    from pyspark.sql import Window
-
     hours = first_seen(records, by, ts).groupBy(
         by, F.date_trunc(unit, "first_ts").alias("hour")).agg(F.count("*").alias("new_fields"))
     order = Window.partitionBy(by).orderBy("hour")

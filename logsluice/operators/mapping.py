@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from logsluice.functions.rows import each
 from logsluice.functions.typing import quality_label
 from logsluice.sources.dimensions import CIM_MODELS, cim_fields, model_rows, synonym_rows
 
@@ -33,7 +34,7 @@ def candidates(names: DataFrame, by: str, models: dict[str, list[str]] | None =
         _synonym_array(models or CIM_MODELS),
         lambda s: lower.contains(s["pattern"]) | s["pattern"].contains(lower))
     matched = F.array_distinct(F.transform(hits, lambda s: s["cim_field"]))
-    return names.select(by, "name", "pos", F.explode(matched).alias("cim_field"))
+    return each(names, [by, "name", "pos"], matched, "cim_field")
 
 
 def _per_model(df: DataFrame, models: dict[str, list[str]]) -> DataFrame:
@@ -45,7 +46,7 @@ def _per_model(df: DataFrame, models: dict[str, list[str]]) -> DataFrame:
     table = F.create_map(*[
         item for f, ms in holders.items()
         for item in (F.lit(f), F.array(*[F.lit(m) for m in ms]))])
-    return df.withColumn("model", F.explode(F.try_element_at(table, F.col("cim_field"))))
+    return each(df, df.columns, F.try_element_at(table, F.col("cim_field")), "model")
 
 
 def auto_map(
@@ -77,7 +78,7 @@ def fuzzy_map(
     scored = F.transform(_synonym_array(models), lambda s: F.struct(
         s["cim_field"].alias("cim_field"), similarity(F.col("name"), s["pattern"]).alias("score")))
     kept = F.filter(scored, lambda s: s["score"] >= min_score)
-    rows = names.select(by, "name", "pos", F.inline(kept))
+    rows = each(names, [by, "name", "pos"], kept).select(by, "name", "pos", "s.*")
     return rows.groupBy(by, "cim_field").agg(
         F.max("score").alias("score"),
         F.min_by("name", F.struct(-F.col("score"), F.col("pos"), F.col("name"))).alias("name"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logsluice.functions import patterns as P
 from logsluice.functions import spans as S
+from logsluice.functions.rows import each
 from logsluice.functions.spans import Detector
 from logsluice.operators.detectors import canonical_type
 
@@ -26,7 +27,7 @@ def span_table(
 ) -> DataFrame:
     """One row per span: keys, start, end, ord, type, text, score."""
     found = with_spans(df.select(*keys, text), text, detectors)
-    return found.select(*keys, F.inline("spans"))
+    return each(found, keys, "spans").select(*keys, "s.*")
 
 
 def span_details(
@@ -35,8 +36,8 @@ def span_details(
 ) -> DataFrame:
     """Span rows with the inferred field and the redaction pattern, as a scan reports them."""
     # One row per span keeps the document next to it: field inference looks at the surroundings.
-    rows = with_spans(df.select(*keys, text), text, detectors).select(
-        *keys, F.col(text).alias("_doc"), F.explode("spans").alias("s"))
+    found = with_spans(df.select(*keys, text), text, detectors)
+    rows = each(found, [*keys, F.col(text).alias("_doc")], "spans")
     begin, end, type_ = F.col("s.start"), F.col("s.end"), F.col("s.type")
     infer = S.nearest_field if nearest else S.infer_field
     return rows.select(
@@ -196,7 +197,7 @@ def known_values(tokens: DataFrame, dictionary: DataFrame, token: str = "token")
 def tokens(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Words of a text with their number of occurrences per document."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_@.-]+"), lambda w: w != "")
-    return df.select(*keys, F.explode(words).alias("token"))
+    return each(df, keys, words, "token")
 
 
 def evaluate(found: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:

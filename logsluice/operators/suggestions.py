@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsluice.functions.patterns import CURRENT_TIME, DEFAULT_LOOKAHEAD
+from logsluice.functions.rows import each
 
 EXTRACTION_SCHEMA = """
 sourcetype string, source string,
@@ -69,7 +70,7 @@ def mapping_items(df: DataFrame, content: str) -> DataFrame:
 
 
 def explode_items(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.filter(F.col("error").isNull()).select(*keys, F.inline("items"))
+    return each(df, keys, "items").select(*keys, "s.*")
 
 
 def valid_items(items: DataFrame, fields: DataFrame, model_fields: DataFrame, by: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logsluice.functions import patterns as P
 from logsluice.functions import spans as S
+from logsluice.functions.rows import each
 from logsluice.operators import pii
 from logsluice.operators.detectors import (
     DETECTORS, canonical_type, custom_detectors, select_detectors,
@@ -346,7 +347,7 @@ def pii_best_span(spark, folder):
     found = pii.with_spans(
         customer_contacts(spark, folder).select("c_custkey", "raw"), "raw", _mixed_detectors(spark))
     best = found.select("c_custkey", S.best_per_position(F.col("spans")).alias("spans"))
-    return _positions(best.select("c_custkey", F.inline("spans")), "c_custkey")
+    return _positions(each(best, ["c_custkey"], "spans").select("c_custkey", "s.*"), "c_custkey")
 
 
 @query("pii_best_span_table", f"""
@@ -373,7 +374,7 @@ FROM g GROUP BY c_custkey, isle""")
 def pii_merge_spans(spark, folder):
     found = pii.with_spans(
         customer_contacts(spark, folder).select("c_custkey", "raw"), "raw", _mixed_detectors(spark))
-    isles = found.select("c_custkey", F.inline(S.merge_overlaps(F.col("spans"))))
+    isles = each(found, ["c_custkey"], S.merge_overlaps(F.col("spans"))).select("c_custkey", "s.*")
     return isles.select(
         "c_custkey", F.col("start").cast("bigint").alias("start_pos"),
         F.col("end").cast("bigint").alias("end_pos"), "type", F.col("spans").cast("bigint").alias("spans"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logsluice.functions import patterns as P
 from logsluice.functions.regexlang import split_named_groups
+from logsluice.functions.rows import bind
 
 _MARK, _SEP = "\x1e", "\x1f"
 _PAIRS = "array<struct<name:string,value:string>>"
@@ -44,10 +45,9 @@ def _marked_groups(raw: Column, pattern: str, count: int) -> Column:
 
 def group_values(raw: Column, pattern: str, count: int) -> Column:
     """All groups of the first match as an array; NULL without a match, '' for an unset group."""
-    # The one-element array names the groups once, so the pattern is not evaluated twice.
-    return F.get(F.transform(
-        F.array(_marked_groups(raw, pattern, count)),
-        lambda g: F.when(F.get(g, 0) == _MARK, F.slice(g, 2, count))), 0)
+    return bind(
+        _marked_groups(raw, pattern, count),
+        lambda g: F.when(F.get(g, 0) == _MARK, F.slice(g, 2, count)))
 
 
 def with_groups(

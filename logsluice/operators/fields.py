@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from logsluice.functions import extract as X
 from logsluice.functions import patterns as P
-from logsluice.functions.rows import each
+from logsluice.functions.rows import bind, each
 from logsluice.functions.typing import infer_field_type, infer_json_type, pii_flag
 from logsluice.operators.formats import detect_format
 from logsluice.sources.catalog import existing_columns
@@ -21,27 +21,28 @@ def _zip_names(values: Column, names: Sequence[str]) -> Column:
     named = F.zip_with(
         F.array(*[F.lit(n) for n in names]), values,
         lambda n, v: F.struct(n.alias("name"), v.alias("value")))
+    # An unset group is empty; names without a value at all are NULL.
     return F.filter(named, lambda p: p["value"] != "")
 
 
 def _apache_pairs(raw: Column) -> Column:
-    pairs = _zip_names(
-        X.group_values(raw, P.APACHE_COMMON, len(P.APACHE_COMMON_NAMES)), P.APACHE_COMMON_NAMES)
-    request = F.transform(
-        F.filter(pairs, lambda p: p["name"] == "request"), lambda p: F.split(p["value"], " "))
-    parts = F.flatten(F.transform(
-        F.filter(request, lambda r: F.size(r) >= 3),
-        lambda r: F.zip_with(
-            F.array(F.lit("method"), F.lit("uri"), F.lit("protocol")), F.slice(r, 1, 3),
-            lambda n, v: F.struct(n.alias("name"), v.alias("value")))))
-    return F.concat(pairs, parts)
+    names = P.APACHE_COMMON_NAMES
+    request = names.index("request")
+    none = F.array().cast("array<string>")
+
+    def pairs(groups: Column) -> Column:
+        parts = F.split(F.get(groups, request), " ")
+        extra = F.when(F.size(parts) >= 3, F.slice(parts, 1, 3)).otherwise(none)
+        return F.concat(
+            _zip_names(groups, names), _zip_names(extra, ["method", "uri", "protocol"]))
+
+    return bind(X.group_values(raw, P.APACHE_COMMON, len(names)), pairs)
 
 
 def _syslog_pairs(raw: Column) -> Column:
     def variant(pattern: str, names: list[str]) -> Column:
-        base = _zip_names(X.group_values(raw, pattern, len(names)), names)
-        message = F.regexp_extract(raw, pattern, len(names))
-        return F.concat(base, X.kv_dialects(message))
+        return bind(X.group_values(raw, pattern, len(names)), lambda groups: F.concat(
+            _zip_names(groups, names), X.kv_dialects(F.get(groups, len(names) - 1))))
 
     return (
         F.when(raw.rlike(P.SYSLOG_STANDARD), variant(P.SYSLOG_STANDARD, P.SYSLOG_STANDARD_NAMES))
@@ -57,9 +58,9 @@ def _json_text_pairs(raw: Column) -> Column:
 def _csv_pairs(raw: Column, header: Sequence[str], sep: str) -> Column:
     schema = ", ".join(f"`c{i}` string" for i in range(len(header)))
     row = F.from_csv(raw, schema, {"sep": sep, "quote": '"', "escape": '"'})
-    return F.array(*[
-        F.struct(F.lit(n).alias("name"), F.coalesce(row[f"c{i}"], F.lit("")).alias("value"))
-        for i, n in enumerate(header)])
+    return bind(row, lambda r: F.array(*[
+        F.struct(F.lit(n).alias("name"), F.coalesce(r[f"c{i}"], F.lit("")).alias("value"))
+        for i, n in enumerate(header)]))
 
 
 def extract_auto(

@@ -14,7 +14,7 @@ from logsluice.operators.detectors import (
 from logsluice.plans import oracle_text as O
 from logsluice.plans.registry import query
 from logsluice.sources.rendered import customer_contacts, customer_notes
-from logsluice.sources.tables import table
+from logsluice.sources.tables import spread_table, table
 
 IP, EMAIL, CARD, CREDENTIAL = (
     "IpAddressDetector", "EmailDetector", "CreditCardDetector", "CredentialDetector")
@@ -34,7 +34,7 @@ def _detectors(names):
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    return spread_table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
 
 
 def _document_spans(spark: SparkSession, folder: str, keys=("doc_id",)) -> DataFrame:
@@ -64,7 +64,7 @@ def _register_span_query(key: str, detector: str, name: str, id_: str, column: s
     @query(key, sql)
     def run(spark, folder):
         return _positions(
-            pii.span_table(table(spark, folder, name), [id_], column, _detectors([detector])), id_)
+            pii.span_table(spread_table(spark, folder, name), [id_], column, _detectors([detector])), id_)
 
 
 for _key, _detector, _table, _id, _column in [
@@ -151,7 +151,7 @@ _SHIPPED = [n for n in P.SHIPPED_DETECTORS.split("|")]
     f"lambda m: length(trim(m)) >= 3))), 0) AS BIGINT) AS items FROM conversations" for n in _SHIPPED))
 def pii_detectors_selected(spark, folder):
     chosen = select_detectors(P.SHIPPED_DETECTORS + "|NoSuchDetector", P.DEFAULT_DETECTORS)
-    return pii.type_counts(table(spark, folder, "conversations"), "text", chosen)
+    return pii.type_counts(spread_table(spark, folder, "conversations"), "text", chosen)
 
 
 @query("pii_allowlist", f"""

@@ -11,7 +11,7 @@ from logsluice.plans import oracle_text as O
 from logsluice.plans.queries_pii import CONTACT_SET, DOCUMENT_SET, EMAIL, IP, CARD, PHONE, SSN
 from logsluice.plans.registry import query
 from logsluice.sources.rendered import customer_contacts
-from logsluice.sources.tables import table
+from logsluice.sources.tables import spread_table, table
 
 _PATTERN_SET = [IP, EMAIL, CARD]
 CUSTOM = [("hex token", r"[0-9a-f]{32,}"), ("mail $ host", r"@mail(?<n>\d)\.example"), ("", "  ")]
@@ -38,7 +38,7 @@ SELECT d.doc_id, coalesce(r.redacted, d.text) AS redacted FROM documents d LEFT
 
 @query("redact_spans", _REBUILT)
 def redact_spans(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread_table(spark, folder, "documents").select("doc_id", "text")
     return redaction.redact_spans(
         docs, "text", [DETECTORS[IP], DETECTORS[EMAIL]]).select("doc_id", "redacted")
 
@@ -59,7 +59,7 @@ def redact_spans_contacts(spark, folder):
 
 @query("redact_patterns", f"SELECT doc_id, {_sql_patterns('text')} AS redacted FROM documents")
 def redact_patterns(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", redaction.redact_patterns(
+    return spread_table(spark, folder, "documents").select("doc_id", redaction.redact_patterns(
         F.col("text"), redaction.detector_rules(_PATTERN_SET)).alias("redacted"))
 
 
@@ -96,7 +96,7 @@ SELECT doc_id, {_chain('text', [(r'[0-9a-f]{32,}', '[REDACTED_HEX_TOKEN]'),
                                 (r'@mail(\d)\.example', '[REDACTED_MAIL_$_HOST]')])} AS redacted
 FROM documents""")
 def redact_custom(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", redaction.redact_patterns(
+    return spread_table(spark, folder, "documents").select("doc_id", redaction.redact_patterns(
         F.col("text"), redaction.custom_rules(CUSTOM)).alias("redacted"))
 
 
@@ -142,7 +142,7 @@ SELECT d.doc_id, coalesce({_chain("r.body", [])}, d.text) IS NOT NULL AS present
     {O.lit(P.VALUE_PATTERNS['IP_ADDRESS'])}, '[REDACTED_IP_ADDRESS]', 'g') END AS redacted
 FROM documents d LEFT JOIN r USING (doc_id)""")
 def redact_context_docs(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread_table(spark, folder, "documents").select("doc_id", "text")
     return redaction.redact_in_context(docs, "text", [DETECTORS[EMAIL], DETECTORS[IP]]).select(
         "doc_id", F.lit(True).alias("present"), "redacted")
 
@@ -150,7 +150,7 @@ def redact_context_docs(spark, folder):
 @query("text_fingerprint", """
 SELECT doc_id, length(text) AS length, sha256(text) AS sha256 FROM documents""")
 def text_fingerprint(spark, folder):
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents").select(
         "doc_id", redaction.text_fingerprint(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
@@ -158,7 +158,7 @@ def text_fingerprint(spark, folder):
     f"SELECT '{d}' AS type, 0::BIGINT AS items" for d in DOCUMENT_SET))
 def redact_residual(spark, folder):
     redacted = redaction.redact_spans(
-        table(spark, folder, "documents").select("text"), "text", [DETECTORS[d] for d in DOCUMENT_SET])
+        spread_table(spark, folder, "documents").select("text"), "text", [DETECTORS[d] for d in DOCUMENT_SET])
     return redaction.residual(redacted, "redacted", [DETECTORS[d] for d in DOCUMENT_SET])
 
 

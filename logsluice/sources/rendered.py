@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logsluice.sources.tables import table
+from logsluice.sources.tables import spread_table, table
 
 FORMATS = ["apache", "json", "csv", "kv", "syslog", "xml"]
 
@@ -25,7 +25,11 @@ def digits(number: Column, width: int) -> Column:
 
 def typed_events(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` with the values that appear in rendered lines."""
-    events = table(spark, folder, "events")
+    return with_typed_values(spread_table(spark, folder, "events"))
+
+
+def with_typed_values(events: DataFrame) -> DataFrame:
+    """The same for any frame of events, also a stream."""
     user_id, event_id = F.col("user_id"), F.col("event_id")
     return events.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",

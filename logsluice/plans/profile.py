@@ -49,7 +49,8 @@ def profile(
     suggested = {}
     if model:
         chosen = {model: mapping.CIM_MODELS[model]}
-        for r in mapping.auto_map(seen, models=chosen).collect():
+        names_ = df.sparkSession.createDataFrame(rows, seen.schema)
+        for r in mapping.auto_map(names_, models=chosen).collect():
             suggested.setdefault(r["sourcetype"], []).append((r["name"], r["cim_field"]))
     fields: dict[str, list[tuple[int, str]]] = {}
     for r in rows:

@@ -138,7 +138,7 @@ def validate_rules(spark, folder):
 
 
 @query("profile_and_apply", f"""
-SELECT event_id, CASE sourcetype WHEN 'apache' THEN ip WHEN 'kv' THEN ip END AS src_ip,
+SELECT event_id, CASE WHEN sourcetype IN ('apache', 'kv', 'json') THEN ip END AS src_ip,
   CASE WHEN sourcetype IN ('json', 'kv', 'apache', 'csv') THEN date_trunc('second', ts) END AS event_time FROM ({EV})""")
 def profile_and_apply(spark, folder):
     """Specifications inferred from the lines, then applied to them."""

@@ -62,7 +62,8 @@ def differences(spark_df, sql: str, con) -> list[str]:
     if len(a) != len(b):
         out.append(f"rows {len(a)} != {len(b)}")
     if a != b:
-        only_a = [r for r in a if r not in set(b)][:3]
-        only_b = [r for r in b if r not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a = [r for r in a if r not in in_b][:3]
+        only_b = [r for r in b if r not in in_a][:3]
         out.append(f"values over {cols}:\n  spark {only_a}\n  sql   {only_b}")
     return out

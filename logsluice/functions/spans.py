@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from logsluice.functions import patterns as P
+from logsluice.functions.rows import bind
 
 SPAN_TYPE = "struct<start:int,end:int,ord:int,type:string,text:string,score:double>"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
@@ -167,10 +168,9 @@ def context_of(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, first + 1, end + P.CONTEXT_CHARS - first)
 
 
-def infer_field(text: Column, start: Column, end: Column, type_: Column) -> Column:
-    """Field name of a span: the first ``k=`` near it, else ``"k":"``, else its place in an access
-    log line, else its type in lower case."""
-    context = context_of(text, start, end)
+def infer_field(text: Column, context: Column, start: Column, type_: Column) -> Column:
+    """Field name of a span: the first ``k=`` in its context, else ``"k":"``, else its place in an
+    access log line, else its type in lower case."""
     kv = F.nullif(F.regexp_extract(context, P.KV_KEY, 1), F.lit(""))
     json = F.nullif(F.regexp_extract(context, P.JSON_KEY, 1), F.lit(""))
     positional = F.when(
@@ -181,13 +181,12 @@ def infer_field(text: Column, start: Column, end: Column, type_: Column) -> Colu
     return F.coalesce(kv, json, positional, F.lower(type_))
 
 
-def nearest_field(text: Column, start: Column, end: Column, type_: Column) -> Column:
+def nearest_field(text: Column, context: Column, start: Column, type_: Column) -> Column:
     """Like :func:`infer_field`, with the last ``k=`` in front of the span instead of the first."""
-    first = F.greatest(start - P.CONTEXT_CHARS, F.lit(0))
-    before = F.substring(text, first + 1, start - first)
+    before = F.substring(context, F.lit(1), F.least(start, F.lit(P.CONTEXT_CHARS)))
     nearest = F.nullif(
         F.regexp_extract(before, r"^[\s\S]*?(?:[\s\S]*[^\p{L}\p{N}_])?" + P.KV_KEY, 1), F.lit(""))
-    return F.coalesce(nearest, infer_field(text, start, end, type_))
+    return F.coalesce(nearest, infer_field(text, context, start, type_))
 
 
 def _by_key(key: Column, table: dict[str, str], default: Column) -> Column:
@@ -217,31 +216,35 @@ def context_rule(text: Column, start: Column, end: Column, type_: Column, found:
 
     ``replacement`` is literal text. Applying it takes care of ``$`` and backslash.
     """
-    context = context_of(text, start, end)
-    value = value_pattern(type_)
-    label = redaction_label(F.upper(type_))
-    kv = F.regexp_extract(context, P.KV_KEY, 1)
-    json = F.regexp_extract(context, P.JSON_KEY, 1)
+    lit, label = F.lit, redaction_label(F.upper(type_))
 
     def rule(pattern: Column, replacement: Column) -> Column:
         return F.struct(pattern.alias("pattern"), replacement.alias("replacement"))
 
-    lit = F.lit
-    return (
-        F.when(kv != "", rule(
-            F.concat(kv, lit("=("), value, lit(")")), F.concat(kv, lit("="), label)))
-        .when(json != "", rule(
-            F.concat(lit('"'), json, lit(r'"\s*:\s*"('), value, lit(')"')),
-            F.concat(lit('"'), json, lit('":"'), label, lit('"'))))
-        .when(text.rlike(P.LEADING_IP) & (start < P.POSITIONAL_START), rule(
-            F.concat(lit("^("), value, lit(")")), label))
-        .when(text.rlike(P.LEADING_IP) & context.contains("[") & context.contains("]"), rule(
-            F.concat(lit(r"\[("), value, lit(r")\]")), F.concat(lit("["), label, lit("]"))))
-        .when(text.rlike(P.LEADING_IP) & context.contains('"'), rule(
-            F.concat(lit('"([^"]*'), escaped(found), lit('[^"]*)"')),
-            F.concat(lit('"'), label, lit('"'))))
-        .otherwise(rule(value, label))
-    )
+    def choose(parts: Column) -> Column:
+        context, kv, json, value = (parts[k] for k in ("context", "kv", "json", "value"))
+        positional = (
+            F.when(start < P.POSITIONAL_START, rule(F.concat(lit("^("), value, lit(")")), label))
+            .when(context.contains("[") & context.contains("]"), rule(
+                F.concat(lit(r"\[("), value, lit(r")\]")), F.concat(lit("["), label, lit("]"))))
+            .when(context.contains('"'), rule(
+                F.concat(lit('"([^"]*'), escaped(found), lit('[^"]*)"')),
+                F.concat(lit('"'), label, lit('"'))))
+            .otherwise(rule(value, label)))
+        return (
+            F.when(kv != "", rule(
+                F.concat(kv, lit("=("), value, lit(")")), F.concat(kv, lit("="), label)))
+            .when(json != "", rule(
+                F.concat(lit('"'), json, lit(r'"\s*:\s*"('), value, lit(')"')),
+                F.concat(lit('"'), json, lit('":"'), label, lit('"'))))
+            .when(text.rlike(P.LEADING_IP), positional)
+            .otherwise(rule(value, label)))
+
+    return bind(context_of(text, start, end), lambda c: bind(
+        F.struct(
+            c.alias("context"), F.regexp_extract(c, P.KV_KEY, 1).alias("kv"),
+            F.regexp_extract(c, P.JSON_KEY, 1).alias("json"), value_pattern(type_).alias("value")),
+        choose))
 
 
 def apply_rules(text: Column, rules: Column) -> Column:

@@ -29,12 +29,16 @@ def candidates(names: DataFrame, by: str, models: dict[str, list[str]] | None =
     The synonyms are a literal array that is filtered inside the row of a name, so there is no join
     and the work grows with the number of names alone.
     """
+    return each(names, [by, "name", "pos"], _matched_fields(models or CIM_MODELS), "cim_field")
+
+
+def _matched_fields(models: dict[str, list[str]]) -> Column:
+    """The model fields that the column ``name`` matches."""
     lower = F.lower("name")
     hits = F.filter(
-        _synonym_array(models or CIM_MODELS),
+        _synonym_array(models),
         lambda s: lower.contains(s["pattern"]) | s["pattern"].contains(lower))
-    matched = F.array_distinct(F.transform(hits, lambda s: s["cim_field"]))
-    return each(names, [by, "name", "pos"], matched, "cim_field")
+    return F.array_distinct(F.transform(hits, lambda s: s["cim_field"]))
 
 
 def _per_model(df: DataFrame, models: dict[str, list[str]]) -> DataFrame:
@@ -109,15 +113,24 @@ def quality(mapped: Column, total: Column) -> Column:
 
 
 def compliance(
-    mapping: DataFrame, groups: DataFrame, by: str = "sourcetype",
-    models: dict[str, list[str]] | None = None,
+    names: DataFrame, by: str = "sourcetype", models: dict[str, list[str]] | None = None,
 ) -> DataFrame:
-    """Quality of every group under every model, unmapped models included."""
+    """Quality of every group under every model, groups and models without a match included.
+
+    One aggregate: the set of matched model fields of a group has at most as many members as there
+    are synonym entries, and all models are measured against it in the group's single row.
+    """
     models = models or CIM_MODELS
-    grid = groups.select(by).distinct().select(by, F.inline(F.array(*[
-        F.struct(F.lit(m).alias("model"), F.lit(len(f)).alias("total")) for m, f in models.items()])))
-    mapped = mapping.groupBy(by, "model").agg(F.count_distinct("cim_field").alias("mapped"))
-    rows = grid.join(mapped, [by, "model"], "left").na.fill({"mapped": 0})
+    none = F.array().cast("array<string>")
+    hits = names.select(by, F.coalesce(_matched_fields(models), none).alias("hits"))
+    per_group = hits.select(by, F.explode_outer("hits").alias("cim_field")).groupBy(by).agg(
+        F.collect_set("cim_field").alias("found"))
+    measures = F.array(*[
+        F.struct(
+            F.lit(m).alias("model"), F.lit(len(f)).alias("total"),
+            F.size(F.array_intersect("found", F.array(*map(F.lit, f)))).cast("bigint").alias("mapped"))
+        for m, f in models.items()])
+    rows = per_group.select(by, F.inline(measures))
     percent = quality(F.col("mapped"), F.col("total"))
     return rows.withColumn("quality", percent).withColumn("label", quality_label(F.col("quality")))
 

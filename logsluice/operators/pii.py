@@ -39,9 +39,10 @@ def span_details(
     found = with_spans(df.select(*keys, text), text, detectors)
     rows = each(found, [*keys, F.col(text).alias("_doc")], "spans")
     begin, end, type_ = F.col("s.start"), F.col("s.end"), F.col("s.type")
+    near = rows.withColumn("_context", S.context_of(F.col("_doc"), begin, end))
     infer = S.nearest_field if nearest else S.infer_field
-    return rows.select(
-        *keys, "s.*", infer(F.col("_doc"), begin, end, type_).alias("field"),
+    return near.select(
+        *keys, "s.*", infer(F.col("_doc"), F.col("_context"), begin, type_).alias("field"),
         S.redaction_pattern(type_, F.col("s.text")).alias("regex_pattern"))
 
 
@@ -168,24 +169,32 @@ def common_types(spans: DataFrame, group: str) -> DataFrame:
 def overlaps(spans: DataFrame, doc: str) -> DataFrame:
     """Pairs of spans of one document that share characters.
 
-    Spans are put into bins of fixed width, so a pair is only formed within a bin. A pair counts in
-    the bin where the later of the two starts.
+    Spans are put into bins of fixed width and compared within a bin only; a pair counts in the bin
+    where the later of the two starts. Spans of one detector do not overlap and have at least three
+    characters, so a bin holds at most width / 3 + 2 spans per detector, however long the document.
+    The spans are found once and shuffled once.
     """
-    bins = spans.select(doc, "start", "end", "ord", "type").withColumn("bin", F.explode(F.sequence(
-        F.floor(F.col("start") / OVERLAP_BIN_CHARS),
-        F.floor((F.col("end") - 1) / OVERLAP_BIN_CHARS))))
-    a, b = bins.alias("a"), bins.alias("b")
-    later_start = F.floor(F.greatest("a.start", "b.start") / OVERLAP_BIN_CHARS)
-    before = F.struct("a.start", "a.end", "a.ord") < F.struct("b.start", "b.end", "b.ord")
-    return a.join(
-        b,
-        (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.bin") == F.col("b.bin"))
-        & before & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-        & (F.col("a.bin") == later_start),
-    ).select(
-        F.col(f"a.{doc}").alias(doc),
-        F.col("a.type").alias("type_a"), F.col("a.start").alias("start_a"), F.col("a.end").alias("end_a"),
-        F.col("b.type").alias("type_b"), F.col("b.start").alias("start_b"), F.col("b.end").alias("end_b"))
+    span = F.struct("start", "end", "ord", "type")
+    bins = each(
+        spans, [doc, span.alias("s")],
+        F.sequence(
+            F.floor(F.col("start") / OVERLAP_BIN_CHARS),
+            F.floor((F.col("end") - 1) / OVERLAP_BIN_CHARS)), "bin")
+    groups = bins.groupBy(doc, "bin").agg(F.collect_list("s").alias("spans")).filter(F.size("spans") > 1)
+
+    def partners(a: Column) -> Column:
+        def meets(b: Column) -> Column:
+            later = F.floor(F.greatest(a["start"], b["start"]) / OVERLAP_BIN_CHARS)
+            before = F.struct(a["start"], a["end"], a["ord"]) < F.struct(b["start"], b["end"], b["ord"])
+            return before & (a["start"] < b["end"]) & (b["start"] < a["end"]) & (later == F.col("bin"))
+
+        return F.transform(
+            F.filter("spans", meets), lambda b: F.struct(a.alias("a"), b.alias("b")))
+
+    pairs = each(groups, [doc], F.flatten(F.transform("spans", partners)), "p")
+    return pairs.select(doc, *[
+        F.col(f"p.{side}.{part}").alias(f"{part}_{side}")
+        for side in ("a", "b") for part in ("type", "start", "end")])
 
 
 def known_values(tokens: DataFrame, dictionary: DataFrame, token: str = "token") -> DataFrame:

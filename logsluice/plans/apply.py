@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsluice.functions import extract as X
+from logsluice.functions.rows import bind
 from logsluice.functions.timeparse import parse_time
 from logsluice.operators import mapping, redaction
 from logsluice.plans.spec import OnboardingSpec
 
 
+_PAIR_READERS = {
+    "kv": X.kv_pairs, "kv_quoted": X.kv_quoted, "kv_dialects": X.kv_dialects, "xml": X.xml_auto}
+
+
+def _parsed_row(line: Column, spec: OnboardingSpec) -> Column:
+    schema = ", ".join(f"`{f}` string" for f in spec.fields)
+    if spec.kind == "json":
+        return F.from_json(line, schema)
+    return F.from_csv(line, schema, {"sep": spec.separator, "quote": '"', "escape": '"'})
+
+
 def extract(df: DataFrame, spec: OnboardingSpec, raw: str = "raw") -> DataFrame:
     """Add one column per field of the specification; the line is parsed once."""
     line, wanted = F.col(raw), spec.new_fields()
@@ -19,14 +29,9 @@ def extract(df: DataFrame, spec: OnboardingSpec, raw: str = "raw") -> DataFrame:
         names = [n if n in wanted else None for n in spec.extraction.names]
         return X.with_groups(df, spec.extraction.pattern, names, raw)
     if spec.kind in ("json", "csv"):
-        schema = ", ".join(f"`{f}` string" for f in spec.fields)
-        row = (F.from_json(line, schema) if spec.kind == "json" else F.from_csv(
-            line, schema, {"sep": spec.separator, "quote": '"', "escape": '"'}))
-        return df.withColumn("_row", row).withColumns(
+        return df.withColumn("_row", _parsed_row(line, spec)).withColumns(
             {f: F.col(f"_row.`{f}`") for f in wanted}).drop("_row")
-    pairs = {"kv": X.kv_pairs, "kv_quoted": X.kv_quoted, "kv_dialects": X.kv_dialects,
-             "xml": X.xml_auto}[spec.kind](line)
-    return df.withColumn("_pairs", pairs).withColumns(
+    return df.withColumn("_pairs", _PAIR_READERS[spec.kind](line)).withColumns(
         {f: X.pair_value(F.col("_pairs"), f) for f in wanted}).drop("_pairs")
 
 
@@ -45,23 +50,72 @@ def apply(
     return name(out, list(spec.mapping))
 
 
+def field_pairs(raw: Column, spec: OnboardingSpec) -> Column:
+    """The specification's fields of one line as ``array<struct(name, value)>``, without gaps."""
+    wanted = spec.new_fields()
+    if spec.kind == "pattern":
+        names = spec.extraction.names
+        values = X.group_values(raw, spec.extraction.pattern, len(names))
+        pairs = F.zip_with(
+            F.array(*[F.lit(n if n in wanted else None) for n in names]), values,
+            lambda n, v: F.struct(n.alias("name"), X.empty_to_null(v).alias("value")))
+    elif spec.kind in ("json", "csv"):
+        pairs = bind(_parsed_row(raw, spec), lambda row: F.array(*[
+            F.struct(F.lit(f).alias("name"), row[f].alias("value")) for f in wanted]))
+    else:
+        pairs = F.filter(
+            X.first_per_name(_PAIR_READERS[spec.kind](raw)), lambda p: p["name"].isin(wanted))
+    return F.filter(pairs, lambda p: p["name"].isNotNull() & p["value"].isNotNull())
+
+
+def _fields_map(raw: Column, spec: OnboardingSpec) -> Column:
+    """Extracted, redacted and mapped fields of one line."""
+    rules = spec.raw_rules()
+
+    def redacted(pair: Column) -> Column:
+        value = redaction.redact_patterns(pair["value"], rules)
+        for field, pattern, label in spec.field_rules:
+            one = redaction.redact_patterns(value, [(pattern, label)])
+            value = F.when(pair["name"] == field, one).otherwise(value)
+        return F.struct(pair["name"].alias("name"), value.alias("value"))
+
+    targets = [(f, cim) for f, cim in spec.mapping if cim and cim != f]
+
+    def alias(pairs: Column, field: str, cim: str) -> Column:
+        found = F.filter(pairs, lambda p: p["name"] == field)
+        return F.transform(
+            found, lambda p: F.struct(F.lit(cim).alias("name"), p["value"].alias("value")))
+
+    def mapped(pairs: Column) -> Column:
+        kept = pairs
+        if spec.rename and targets:
+            kept = F.filter(pairs, lambda p: ~p["name"].isin([f for f, _ in targets]))
+        return X.first_per_name(F.concat(*[alias(pairs, f, c) for f, c in targets], kept))
+
+    return F.map_from_entries(bind(F.transform(field_pairs(raw, spec), redacted), mapped))
+
+
 def apply_all(df: DataFrame, specs: list[OnboardingSpec], keys: list[str], raw: str = "raw") -> DataFrame:
-    """Several sourcetypes of one table in long form ``(keys, event_time, raw, fields MAP)``.
+    """All sourcetypes of a table in long form ``(keys, event_time, raw, fields MAP)``.
 
-    Each line goes through the rules of its sourcetype only; the table is read once per sourcetype
-    with a filter that prunes partitions when the table is partitioned by sourcetype.
+    One scan and one projection: a line is only touched by the rules of its own sourcetype. Lines of
+    a sourcetype without a specification drop.
     """
-    def one(spec: OnboardingSpec) -> DataFrame:
-        done = apply(df.filter(F.col("sourcetype") == spec.sourcetype), spec, raw)
-        targets = {cim: f for f, cim in spec.mapping if cim}
-        names = list(dict.fromkeys([
-            c for c in [*spec.new_fields(), *targets] if c in done.columns]))
-        entries = F.array(*[
-            F.struct(F.lit(n).alias("key"), F.col(f"`{n}`").alias("value")) for n in names])
-        fields = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-        return done.select(*keys, "event_time", raw, fields.alias("fields"))
-
-    return reduce(DataFrame.unionByName, [one(s) for s in specs])
+    line = F.col(raw)
+
+    def by_sourcetype(body) -> Column:
+        first, *others = specs
+        chain = F.when(F.col("sourcetype") == first.sourcetype, body(first))
+        for spec in others:
+            chain = chain.when(F.col("sourcetype") == spec.sourcetype, body(spec))
+        return chain
+
+    time = by_sourcetype(lambda s: parse_time(line, s.time.format, s.time.prefix, s.time.lookahead))
+    clean = by_sourcetype(lambda s: redaction.redact_patterns(line, s.raw_rules()))
+    known = df.filter(F.col("sourcetype").isin([s.sourcetype for s in specs]))
+    return known.select(
+        *keys, time.alias("event_time"), clean.alias(raw),
+        by_sourcetype(lambda s: _fields_map(line, s)).alias("fields"))
 
 
 def validate(df: DataFrame, spec: OnboardingSpec, raw: str = "raw") -> DataFrame:

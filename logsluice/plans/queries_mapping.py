@@ -66,23 +66,20 @@ def cim_fuzzy_one_to_one(spark, folder):
 
 @query("cim_compliance", f"SELECT *, {_LABEL} AS label FROM ({_COMPLIANCE})")
 def cim_compliance(spark, folder):
-    names = _names(spark, folder)
-    return mapping.compliance(mapping.auto_map(names), names)
+    return mapping.compliance(_names(spark, folder))
 
 
 @query("cim_best_model", f"""
 SELECT sourcetype, model, quality, {_LABEL} AS label FROM (
   SELECT sourcetype, arg_min(model, (-quality, model)) AS model, max(quality) AS quality FROM ({_COMPLIANCE}) GROUP BY 1)""")
 def cim_best_model(spark, folder):
-    names = _names(spark, folder)
-    return mapping.best_model(mapping.compliance(mapping.auto_map(names), names))
+    return mapping.best_model(mapping.compliance(_names(spark, folder)))
 
 
 @query("cim_quality", f"""
 SELECT sourcetype, quality, {_LABEL} AS label FROM ({_COMPLIANCE}) WHERE model = 'web'""")
 def cim_quality(spark, folder):
-    names, web = _names(spark, folder), {"web": CIM_MODELS["web"]}
-    return mapping.compliance(mapping.auto_map(names, models=web), names, models=web).select(
+    return mapping.compliance(_names(spark, folder), models={"web": CIM_MODELS["web"]}).select(
         "sourcetype", "quality", "label")
 
 

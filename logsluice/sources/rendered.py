@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logsluice.sources.tables import spread_table, table
+from logsluice.sources.tables import spread_table
 
 FORMATS = ["apache", "json", "csv", "kv", "syslog", "xml"]
 
@@ -163,7 +163,7 @@ def customer_notes(spark: SparkSession, folder: str) -> DataFrame:
         key % 9 + 1, "A ", key % 10, "AA, number AB", digits(key, 6), "C, ref 12345 ",
         digits(key, 5), ", plate AB", digits(key, 2), " CDE, by @cust", key, " skype: live.user",
         key, " password=pw", digits(key, 6), "x")
-    return table(spark, folder, "customer").select("c_custkey", note.alias("note"))
+    return spread_table(spark, folder, "customer").select("c_custkey", note.alias("note"))
 
 
 def customer_contacts(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,7 +180,7 @@ def customer_contacts(spark: SparkSession, folder: str) -> DataFrame:
     access = text(
         ip, ' - - [01/Jan/2024:12:00:00 +0000] "GET /?m=', F.lit("x"), ' HTTP/1.1" 200 12 ', email)
     turn = key % 3
-    return table(spark, folder, "customer").select(
+    return spread_table(spark, folder, "customer").select(
         "c_custkey", "c_mktsegment", email.alias("email"), ip.alias("ip"), phone.alias("phone"),
         ssn.alias("ssn"), card.alias("card"),
         F.when(turn == 0, pairs).when(turn == 1, json).otherwise(access).alias("raw"))

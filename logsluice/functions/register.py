@@ -10,15 +10,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
+from logsluice.functions.literals import sql_text
 from logsluice.functions.patterns import PII_NAME_PATTERN, PII_VALUE_PATTERN, TYPE_PATTERNS
 from logsluice.functions.regexlang import escape_replacement
 from logsluice.functions.spans import MIN_SPAN_CHARS
 
 
-def _lit(text: str) -> str:
-    return "r" + '"' + text + '"' if '"' not in text else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def register(
     spark: SparkSession, rules: Iterable[tuple[str, str]] | None = None,
     patterns: dict[str, str] | None = None,
@@ -31,18 +28,18 @@ def register(
     from logsluice.operators.detectors import DETECTORS
     from logsluice.operators.redaction import detector_rules
 
-    types = " ".join(f"WHEN value RLIKE {_lit(p)} THEN '{t}'" for t, p in TYPE_PATTERNS)
+    types = " ".join(f"WHEN value RLIKE {sql_text(p)} THEN '{t}'" for t, p in TYPE_PATTERNS)
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION infer_field_type(value STRING) RETURNS STRING
         RETURN CASE {types} ELSE 'string' END""")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION pii_flag(name STRING, value STRING) RETURNS BOOLEAN
-        RETURN name RLIKE {_lit(PII_NAME_PATTERN)} OR coalesce(value RLIKE {_lit(PII_VALUE_PATTERN)}, false)""")
+        RETURN name RLIKE {sql_text(PII_NAME_PATTERN)} OR coalesce(value RLIKE {sql_text(PII_VALUE_PATTERN)}, false)""")
     body = "value"
     for pattern, label in rules or detector_rules(["EmailDetector", "IpAddressDetector", "CreditCardDetector"]):
-        body = f"regexp_replace({body}, {_lit(pattern)}, {_lit(escape_replacement(label))})"
+        body = f"regexp_replace({body}, {sql_text(pattern)}, {sql_text(escape_replacement(label))})"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION redact(value STRING) RETURNS STRING RETURN {body}")
     wanted = patterns or {n: DETECTORS[n].pattern for n in ("EmailDetector", "IpAddressDetector")}
     found = ", ".join(
-        f"transform(regexp_extract_all(value, {_lit(p)}, 0), m -> named_struct('type', {_lit(n)}, 'text', m))"
+        f"transform(regexp_extract_all(value, {sql_text(p)}, 0), m -> named_struct('type', {sql_text(n)}, 'text', m))"
         for n, p in wanted.items())
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION pii_spans(value STRING)
         RETURNS TABLE (type STRING, text STRING)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from logsluice.functions import patterns as P
+from logsluice.functions.literals import lookup
 from logsluice.functions.rows import bind
 
 SPAN_TYPE = "struct<start:int,end:int,ord:int,type:string,text:string,score:double>"
@@ -189,16 +190,9 @@ def nearest_field(text: Column, context: Column, start: Column, type_: Column) -
     return F.coalesce(nearest, infer_field(text, context, start, type_))
 
 
-def _by_key(key: Column, table: dict[str, str], default: Column) -> Column:
-    chain = None
-    for name, value in table.items():
-        chain = F.when(key == name, value) if chain is None else chain.when(key == name, value)
-    return chain.otherwise(default)
-
-
 def value_pattern(type_: Column) -> Column:
     """The pattern of values of a type."""
-    return _by_key(type_, P.VALUE_PATTERNS, F.lit(P.DEFAULT_VALUE_PATTERN))
+    return F.coalesce(lookup(type_, P.VALUE_PATTERNS), F.lit(P.DEFAULT_VALUE_PATTERN))
 
 
 def escaped(text: Column) -> Column:
@@ -208,7 +202,7 @@ def escaped(text: Column) -> Column:
 
 def redaction_pattern(type_: Column, text: Column) -> Column:
     """The pattern that redacts data of a detector's type, else the text itself, escaped."""
-    return _by_key(type_, P.REDACTION_PATTERNS, escaped(text))
+    return F.coalesce(lookup(type_, P.REDACTION_PATTERNS), escaped(text))
 
 
 def context_rule(text: Column, start: Column, end: Column, type_: Column, found: Column) -> Column:

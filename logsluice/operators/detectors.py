@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, SparkSession, functions as F
 
+from logsluice.functions.literals import lookup
 from logsluice.functions.patterns import FALLBACK_DETECTOR, PII_PATTERNS
 from logsluice.functions.regexlang import check_pattern, split_named_groups
 from logsluice.functions.spans import Detector
@@ -86,21 +87,14 @@ _SHORT_NAMES = {
 VALUE_PATTERN_KEYS = {"EMAIL": "EMAIL_ADDRESS", "SSN": "US_SSN"}
 
 
-def _mapped(type_: Column, table: dict[str, str], default: Column) -> Column:
-    chain = None
-    for key, value in table.items():
-        chain = F.when(type_ == key, value) if chain is None else chain.when(type_ == key, value)
-    return chain.otherwise(default)
-
-
 def canonical_type(type_: Column) -> Column:
     """One name per kind of data, from a detector's class, a short name, or an upper-case type."""
-    return _mapped(
-        type_, CANONICAL_TYPES, _mapped(F.lower(type_), _SHORT_NAMES, F.upper(type_)))
+    return F.coalesce(
+        lookup(type_, CANONICAL_TYPES), lookup(F.lower(type_), _SHORT_NAMES), F.upper(type_))
 
 
 def value_pattern_key(canonical: Column) -> Column:
-    return _mapped(canonical, VALUE_PATTERN_KEYS, canonical)
+    return F.coalesce(lookup(canonical, VALUE_PATTERN_KEYS), canonical)
 
 
 def select_detectors(selection: str | Iterable[str] | None, default: Sequence[str]) -> list[Detector]:

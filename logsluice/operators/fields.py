@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from logsluice.functions import extract as X
 from logsluice.functions import patterns as P
+from logsluice.functions.literals import text_array
 from logsluice.functions.rows import bind, each
 from logsluice.functions.typing import infer_field_type, infer_json_type, pii_flag
 from logsluice.operators.formats import detect_format
@@ -19,8 +20,7 @@ _PAIRS = "array<struct<name:string,value:string>>"
 
 def _zip_names(values: Column, names: Sequence[str]) -> Column:
     named = F.zip_with(
-        F.array(*[F.lit(n) for n in names]), values,
-        lambda n, v: F.struct(n.alias("name"), v.alias("value")))
+        text_array(names), values, lambda n, v: F.struct(n.alias("name"), v.alias("value")))
     # An unset group is empty; names without a value at all are NULL.
     return F.filter(named, lambda p: p["value"] != "")
 
@@ -40,14 +40,16 @@ def _apache_pairs(raw: Column) -> Column:
 
 
 def _syslog_pairs(raw: Column) -> Column:
-    def variant(pattern: str, names: list[str]) -> Column:
-        return bind(X.group_values(raw, pattern, len(names)), lambda groups: F.concat(
-            _zip_names(groups, names), X.kv_dialects(F.get(groups, len(names) - 1))))
-
-    return (
-        F.when(raw.rlike(P.SYSLOG_STANDARD), variant(P.SYSLOG_STANDARD, P.SYSLOG_STANDARD_NAMES))
-        .when(raw.rlike(P.SYSLOG_3164), variant(P.SYSLOG_3164, P.SYSLOG_3164_NAMES))
-        .otherwise(variant(P.SYSLOG_5424, P.SYSLOG_5424_NAMES)))
+    """Header fields of the variant that matches, then the pairs inside the message."""
+    def header(pattern: str, names: list[str]) -> Column:
+        return _zip_names(X.group_values(raw, pattern, len(names)), names)
+
+    fields = (
+        F.when(raw.rlike(P.SYSLOG_STANDARD), header(P.SYSLOG_STANDARD, P.SYSLOG_STANDARD_NAMES))
+        .when(raw.rlike(P.SYSLOG_3164), header(P.SYSLOG_3164, P.SYSLOG_3164_NAMES))
+        .otherwise(header(P.SYSLOG_5424, P.SYSLOG_5424_NAMES)))
+    return bind(fields, lambda pairs: F.concat(
+        pairs, X.kv_dialects(F.coalesce(X.pair_value(pairs, "message"), F.lit("")))))
 
 
 def _json_text_pairs(raw: Column) -> Column:

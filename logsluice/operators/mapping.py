@@ -6,15 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from logsluice.functions.literals import lookup, struct_array, text_array
 from logsluice.functions.rows import each
 from logsluice.functions.typing import quality_label
 from logsluice.sources.dimensions import CIM_MODELS, cim_fields, model_rows, synonym_rows
 
 
 def _synonym_array(models: dict[str, list[str]]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(f).alias("cim_field"), F.lit(p).alias("pattern"))
-        for f, p in synonym_rows(models)])
+    return struct_array(synonym_rows(models), ["cim_field", "pattern"])
 
 
 def field_names(records: DataFrame, by: str = "sourcetype") -> DataFrame:
@@ -47,10 +46,8 @@ def _per_model(df: DataFrame, models: dict[str, list[str]]) -> DataFrame:
     for model, fields in models.items():
         for f in fields:
             holders.setdefault(f, []).append(model)
-    table = F.create_map(*[
-        item for f, ms in holders.items()
-        for item in (F.lit(f), F.array(*[F.lit(m) for m in ms]))])
-    return each(df, df.columns, F.try_element_at(table, F.col("cim_field")), "model")
+    found = lookup(F.col("cim_field"), {f: ",".join(ms) for f, ms in holders.items()})
+    return each(df, df.columns, F.split(found, ","), "model")
 
 
 def auto_map(
@@ -128,7 +125,7 @@ def compliance(
     measures = F.array(*[
         F.struct(
             F.lit(m).alias("model"), F.lit(len(f)).alias("total"),
-            F.size(F.array_intersect("found", F.array(*map(F.lit, f)))).cast("bigint").alias("mapped"))
+            F.size(F.array_intersect("found", text_array(f))).cast("bigint").alias("mapped"))
         for m, f in models.items()])
     rows = per_group.select(by, F.inline(measures))
     percent = quality(F.col("mapped"), F.col("total"))

@@ -171,6 +171,15 @@ VALUE_PATTERNS = {
     "PERSON": r"[A-Za-z\s]+",
     "URL": r"""https?://[^\s"'<>]+""",
 }
+VALUE_PATTERNS_OF_FIELDS = {
+    "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+    "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "ip_address": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "phone": r"\d{3}-\d{3}-\d{4}",
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "credit_card": r"\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}",
+    "timestamp": r"[^\]\s]+",
+}
 DEFAULT_VALUE_PATTERN = r'[^\s,="]+'
 
 # The word class covers the letters and digits of every script, in Java as in RE2.

@@ -23,7 +23,7 @@ def register(
     """Create the functions for this session.
 
     ``rules`` are the ``(pattern, label)`` pairs of ``redact``; ``patterns`` the detector patterns
-    that the table function ``pii_spans(text)`` looks for.
+    that ``pii_spans(text)`` looks for.
     """
     from logsluice.operators.detectors import DETECTORS
     from logsluice.operators.redaction import detector_rules
@@ -41,7 +41,8 @@ def register(
     found = ", ".join(
         f"transform(regexp_extract_all(value, {sql_text(p)}, 0), m -> named_struct('type', {sql_text(n)}, 'text', m))"
         for n, p in wanted.items())
+    # An array, not a table: exploding it stays in the row, while a correlated table function is
+    # planned as a join on the text.
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION pii_spans(value STRING)
-        RETURNS TABLE (type STRING, text STRING)
-        RETURN SELECT s.type, s.text FROM (SELECT explode(concat({found})) AS s)
-        WHERE length(trim(s.text)) >= {MIN_SPAN_CHARS}""")
+        RETURNS ARRAY<STRUCT<type: STRING, text: STRING>>
+        RETURN filter(concat({found}), s -> length(trim(s.text)) >= {MIN_SPAN_CHARS})""")

@@ -155,13 +155,16 @@ def nested_json_schema(df: DataFrame, raw: str) -> str:
 def existing_fields(df: DataFrame, by: str, order: str) -> DataFrame:
     """Fields a table already has, with a sample value from the first row of each group.
 
-    Internal columns are left out; empty, zero and missing values show as N/A. One aggregate keeps
-    one row per group and partition, whatever the number of columns.
+    Internal columns are left out; empty, zero and missing values show as N/A. The place of the first
+    row is found over two columns; only the few rows at these places are then read whole.
     """
     columns = existing_columns(
         [c for c in df.columns if c != by], P.SYSTEM_FIELD_PREFIXES, P.SYSTEM_FIELDS)
-    first = df.groupBy(by).agg(
-        F.min_by(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), order).alias("r"))
+    places = df.groupBy(by).agg(F.min(order).alias("_first"))
+    at_place = df.join(places.withColumnRenamed(by, "_by"), (
+        F.col(by).eqNullSafe(F.col("_by"))) & (F.col(order) == F.col("_first")))
+    row = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
+    first = at_place.groupBy(by).agg(F.min(row).alias("r"))
     falsy = lambda v: v.isNull() | v.isin("", "0", "0.0", "false")
     pairs = F.array(*[
         F.struct(F.lit(c).alias("name"),

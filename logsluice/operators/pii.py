@@ -157,11 +157,16 @@ def type_matrix(spans: DataFrame, rows: str, types: Sequence[str]) -> DataFrame:
 
 
 def common_types(spans: DataFrame, group: str) -> DataFrame:
-    """Types that occur in every group that has any span."""
+    """Types that occur in every group that has any span.
+
+    The grand total of the rollup is the number of groups. The final list has one entry per type,
+    of which there are as many as detectors.
+    """
     pairs = spans.select(group, "canonical").distinct()
-    groups = pairs.agg(F.count_distinct(group).alias("n"))
-    return pairs.groupBy("canonical").agg(F.count("*").alias("groups")).filter(
-        F.col("groups") == groups.scalar())
+    counts = pairs.rollup("canonical").agg(F.count_distinct(group).alias("groups"))
+    known = F.when(F.col("canonical").isNotNull(), F.struct("canonical", "groups"))
+    whole = counts.agg(F.collect_list(known).alias("types"), F.max("groups").alias("all_groups"))
+    return whole.select(F.inline(F.filter("types", lambda t: t["groups"] == F.col("all_groups"))))
 
 
 # --- Joins --------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logsluice.functions import patterns as P
 from logsluice.functions import spans as S
-from logsluice.functions.regexlang import escape_replacement, split_named_groups
+from logsluice.functions.regexlang import escape_literal, escape_replacement, split_named_groups
 from logsluice.functions.spans import Detector
 from logsluice.operators.detectors import (
     CANONICAL_TYPES, canonical_type, value_pattern_key,
@@ -51,6 +51,32 @@ def detector_rules(names: Sequence[str]) -> list[tuple[str, str]]:
     return [(P.REDACTION_PATTERNS[n], label_for(CANONICAL_TYPES[n])) for n in names]
 
 
+def field_rule(field: str | None, type_: str | None, sample: str) -> tuple[str, str]:
+    """``(pattern, label)`` that redacts one field, by how a sample line shows it.
+
+    A JSON key, a pair, or a place in an access log line keeps its frame; a CSV column and unknown
+    lines fall back to the pattern of the type.
+    """
+    label = label_for(type_ or "PII")
+    if not field or not sample:
+        return r"[^\s]+", label
+    value = P.VALUE_PATTERNS_OF_FIELDS.get(type_ or "", P.DEFAULT_VALUE_PATTERN)
+    name = escape_literal(field)
+    if sample.strip().startswith("{") and f'"{field}"' in sample:
+        return rf'"{name}"\s*:\s*"({value})"', f'"{field}":"{label}"'
+    if f"{field}=" in sample:
+        return f"{name}=({value})", f"{field}={label}"
+    if re.match(P.APACHE_SHAPE, sample):
+        framed = {
+            "clientip": (f"^({value})", label),
+            "timestamp": (rf"\[({value})\]", f"[{label}]"),
+            "request": (f'"({value})"', f'"{label}"'),
+        }
+        if field in framed:
+            return framed[field]
+    return value, label
+
+
 def custom_rules(patterns: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
     """Rules from a user's ``(name, regex)`` pairs; blank patterns are skipped."""
     return [

@@ -100,6 +100,27 @@ def redact_custom(spark, folder):
         F.col("text"), redaction.custom_rules(CUSTOM)).alias("redacted"))
 
 
+@query("redact_field_rules", f"""
+SELECT c_custkey, CASE c_custkey % 3
+  WHEN 0 THEN 'mail=[REDACTED_EMAIL] addr='||ip||' tel=[REDACTED_PHONE] seg='||c_mktsegment
+  WHEN 1 THEN '{{"ssn":"[REDACTED_SSN]","card":"'||card||'","seg":"'||c_mktsegment||'"}}'
+  ELSE '[REDACTED_IP] - - [01/Jan/2024:12:00:00 +0000] "GET /?m=x HTTP/1.1" 200 12 '||email END AS redacted
+FROM ({O.CONTACTS})""")
+def redact_field_rules(spark, folder):
+    """Rules made from one sample line per shape, applied to the lines of that shape."""
+    shapes = [
+        ("mail=a@b.co addr=1.2.3.4 tel=555-000-0000 seg=X", [("mail", "email"), ("tel", "phone")]),
+        ('{"ssn":"123-45-6789","card":"1","seg":"X"}', [("ssn", "ssn")]),
+        ('1.2.3.4 - - [01/Jan/2024:12:00:00] "GET / HTTP/1.1" 200 12',
+         [("clientip", "ip")])]
+    rules = [[redaction.field_rule(f, t, sample) for f, t in fields] for sample, fields in shapes]
+    line, turn = F.col("raw"), F.col("c_custkey") % 3
+    redacted = F.when(turn == 0, redaction.redact_patterns(line, rules[0])).when(
+        turn == 1, redaction.redact_patterns(line, rules[1])).otherwise(
+        redaction.redact_patterns(line, rules[2]))
+    return customer_contacts(spark, folder).select("c_custkey", redacted.alias("redacted"))
+
+
 # By the pair nearest to the left edge of the surroundings, by JSON key, by position.
 _EMAIL_VALUE = P.VALUE_PATTERNS["EMAIL_ADDRESS"]
 

@@ -166,6 +166,21 @@ def sql_functions(spark, folder):
           redact(concat('mail ', email, ' from ', ip)) AS clean FROM _sluice_events""")
 
 
+@query("sql_pii_spans", f"""
+SELECT event_id, 'EmailDetector' AS type, email AS text FROM ({EV})
+UNION ALL SELECT event_id, 'IpAddressDetector', ip FROM ({EV})""")
+def sql_pii_spans(spark, folder):
+    """The span function of SQL users, one row per span."""
+    from logsluice.functions.register import register
+
+    register(spark)
+    R.typed_events(spark, folder).select(
+        "event_id", R.text("mail ", F.col("email"), " from ", F.col("ip")).alias("raw"),
+    ).createOrReplaceTempView("_sluice_lines")
+    return spark.sql("""
+        SELECT e.event_id, s.type, s.text FROM _sluice_lines e LATERAL VIEW explode(pii_spans(e.raw)) v AS s""")
+
+
 @query("custom_detector_class", O.spans("documents", ["doc_id"], "text", ["EmailDetector"]).replace(
     "'EmailDetector' AS type", "'MailFinder' AS type").replace("0 AS ord", "0 AS ord").replace(
     "SELECT doc_id, CAST", "SELECT doc_id, CAST", 1))

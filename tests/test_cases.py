@@ -164,3 +164,25 @@ def test_suggestion_text(spark):
     df = one(spark, "a@b.com and 10.0.0.1")
     text = df.select(pii.suggestion(S.detect_all(F.col("raw"), [DETECTORS[EMAIL], DETECTORS[IP]]))).first()[0]
     assert text.startswith("Detected PII types: EmailDetector, IpAddressDetector. Recommended action")
+
+
+def test_time_settings_fall_back_key_by_key():
+    from logsluice.plans.spec import TimeSettings
+
+    detected = TimeSettings("%Y-%m-%d %H:%M:%S", "at ", 40)
+    assert TimeSettings.resolve(None, detected) == TimeSettings("%Y-%m-%d %H:%M:%S", "at ", 25)
+    user = TimeSettings("%b %d %H:%M:%S", "", 15)
+    assert TimeSettings.resolve(user, detected) == TimeSettings("%b %d %H:%M:%S", "at ", 15)
+    assert TimeSettings.resolve(None, None) == TimeSettings("CURRENT_TIME", "", 25)
+    assert TimeSettings.resolve(TimeSettings("", "x", 9), None) == TimeSettings()
+
+
+def test_field_rules():
+    from logsluice.operators.redaction import field_rule
+
+    assert field_rule("a", "email", "a=b@c.de")[0].startswith("a=(")
+    assert field_rule("a", "ssn", '{"a":"123-45-6789"}') == (
+        r'"a"\s*:\s*"(\d{3}-\d{2}-\d{4})"', '"a":"[REDACTED_SSN]"')
+    assert field_rule("request", "x", APACHE) == (r'"([^\s,="]+)"', '"[REDACTED_X]"')
+    assert field_rule("b", "phone", "a,b\n1,2") == (r"\d{3}-\d{3}-\d{4}", "[REDACTED_PHONE]")
+    assert field_rule(None, None, "x") == (r"[^\s]+", "[REDACTED_PII]")

@@ -178,7 +178,8 @@ def sql_pii_spans(spark, folder):
         "event_id", R.text("mail ", F.col("email"), " from ", F.col("ip")).alias("raw"),
     ).createOrReplaceTempView("_sluice_lines")
     return spark.sql("""
-        SELECT e.event_id, s.type, s.text FROM _sluice_lines e LATERAL VIEW explode(pii_spans(e.raw)) v AS s""")
+        SELECT event_id, s.type, s.text FROM (SELECT event_id, pii_spans(raw) AS spans FROM _sluice_lines)
+        LATERAL VIEW OUTER explode(spans) v AS s WHERE s IS NOT NULL""")
 
 
 @query("custom_detector_class", O.spans("documents", ["doc_id"], "text", ["EmailDetector"]).replace(

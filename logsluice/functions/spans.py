@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from logsluice.functions import patterns as P
-from logsluice.functions.literals import lookup
+from logsluice.functions.literals import lookup, sql_text
 from logsluice.functions.rows import bind
 
 SPAN_TYPE = "struct<start:int,end:int,ord:int,type:string,text:string,score:double>"
@@ -43,43 +43,46 @@ class Detector:
         return cheap & text.rlike(self.pattern)
 
 
-def detect(text: Column, detector: Detector, order: int = 0) -> Column:
-    """All spans of one detector.
+def _detect_sql(text: str, detector: Detector, order: int) -> str:
+    pattern = sql_text(detector.pattern)
+    gate = f"{text} RLIKE {pattern}"
+    if detector.gate is not None:
+        cheap = sql_text(detector.gate)
+        gate = (f"contains({text}, {cheap})" if detector.gate_is_literal else f"{text} RLIKE {cheap}") + f" AND {gate}"
+    lead = f"length(regexp_extract(p.m, {pattern}, 1))" if detector.in_context else "0"
+    value = f"regexp_extract(p.m, {pattern}, 2)" if detector.in_context else "p.m"
+    begin = f"(acc.pos + p.gap + {lead})"
+    span = (
+        f"named_struct('start', {begin}, 'end', {begin} + length({value}), 'ord', {order}, "
+        f"'type', {sql_text(detector.name)}, 'text', {value}, 'score', {detector.score}D)")
+    # There is one more gap than matches; its empty match drops out with the short ones.
+    return f"""CASE WHEN {gate} THEN filter(
+        aggregate(
+            zip_with(
+                regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1),
+                (m, g) -> named_struct('m', m, 'gap', length(g))),
+            named_struct('pos', 0, 'out', CAST(array() AS {SPANS_TYPE})),
+            (acc, p) -> named_struct(
+                'pos', acc.pos + p.gap + length(p.m),
+                'out', CAST(concat(acc.out, array({span})) AS {SPANS_TYPE})),
+            acc -> acc.out),
+        s -> length(trim(s.text)) >= {MIN_SPAN_CHARS})
+        ELSE CAST(array() AS {SPANS_TYPE}) END"""
+
+
+def detect(text: str, detector: Detector, order: int = 0) -> Column:
+    """All spans of one detector in the named column.
 
     The matches and the gaps between them cover the text, so a running sum of their lengths gives
     the offsets. Texts without a match stop at the gate or at the first failed scan.
     """
-    matches = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
-    gaps = F.split(text, detector.pattern, -1)
-    # There is one more gap than matches; its empty match drops out with the short ones below.
-    pieces = F.zip_with(
-        matches, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))
-
-    def step(acc: Column, piece: Column) -> Column:
-        begin = acc["pos"] + piece["gap"]
-        match = piece["m"]
-        after = begin + F.length(match)
-        lead = F.length(F.regexp_extract(match, detector.pattern, 1)) if detector.in_context else F.lit(0)
-        value = F.regexp_extract(match, detector.pattern, 2) if detector.in_context else match
-        start = begin + lead
-        span = F.struct(
-            start.alias("start"), (start + F.length(value)).alias("end"),
-            F.lit(order).alias("ord"), F.lit(detector.name).alias("type"),
-            value.alias("text"), F.lit(detector.score).alias("score"))
-        return F.struct(
-            after.alias("pos"), F.concat(acc["out"], F.array(span)).cast(SPANS_TYPE).alias("out"))
-
-    none = F.array().cast(SPANS_TYPE)
-    start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    long_enough = F.filter(found, lambda s: F.length(F.trim(s["text"])) >= MIN_SPAN_CHARS)
-    return F.when(detector.may_match(text), long_enough).otherwise(none)
+    return F.expr(_detect_sql(f"`{text}`", detector, order))
 
 
-def detect_all(text: Column, detectors: Sequence[Detector]) -> Column:
+def detect_all(text: str, detectors: Sequence[Detector]) -> Column:
     """Spans of several detectors, by position; detectors do not see each other."""
-    found = [detect(text, d, i) for i, d in enumerate(detectors)]
-    return F.sort_array(F.concat(*found)) if len(found) > 1 else found[0]
+    found = [_detect_sql(f"`{text}`", d, i) for i, d in enumerate(detectors)]
+    return F.expr(f"sort_array(concat({', '.join(found)}))" if len(found) > 1 else found[0])
 
 
 def count_matches(text: Column, detector: Detector) -> Column:

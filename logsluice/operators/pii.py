@@ -19,7 +19,7 @@ def with_spans(
     df: DataFrame, text: str, detectors: Sequence[Detector], out: str = "spans",
 ) -> DataFrame:
     """Add the spans of every document as an array, by position."""
-    return df.withColumn(out, S.detect_all(F.col(text), detectors))
+    return df.withColumn(out, S.detect_all(text, detectors))
 
 
 def span_table(

@@ -30,7 +30,7 @@ def redact_spans(
     df: DataFrame, text: str, detectors: Sequence[Detector], out: str = "redacted",
 ) -> DataFrame:
     """Replace every span by its label; overlapping spans become one label."""
-    found = df.withColumn("_spans", S.detect_all(F.col(text), detectors))
+    found = df.withColumn("_spans", S.detect_all(text, detectors))
     merged = found.withColumn("_islands", S.merge_overlaps(F.col("_spans")))
     return merged.withColumn(out, S.replace_islands(
         F.col(text), F.col("_islands"), lambda t: S.redaction_label(canonical_type(t)))
@@ -109,7 +109,7 @@ def redact_in_context(
     df: DataFrame, text: str, detectors: Sequence[Detector], out: str = "redacted",
 ) -> DataFrame:
     """Redact by the rule that the surroundings of each span suggest (pair, JSON key, position)."""
-    found = df.withColumn("_spans", S.detect_all(F.col(text), detectors))
+    found = df.withColumn("_spans", S.detect_all(text, detectors))
     rules = found.withColumn("_rules", F.array_distinct(F.transform(
         "_spans", lambda s: S.context_rule(
             F.col(text), s["start"], s["end"],

@@ -22,7 +22,7 @@ def one(spark, text):
 
 
 def types(spark, text, names):
-    row = one(spark, text).select(S.detect_all(F.col("raw"), [DETECTORS[n] for n in names]).alias("s")).first()
+    row = one(spark, text).select(S.detect_all("raw", [DETECTORS[n] for n in names]).alias("s")).first()
     return [(s["type"], s["text"], s["start"], s["end"]) for s in row["s"]]
 
 
@@ -162,7 +162,7 @@ def test_leap_day_without_year(spark):
 
 def test_suggestion_text(spark):
     df = one(spark, "a@b.com and 10.0.0.1")
-    text = df.select(pii.suggestion(S.detect_all(F.col("raw"), [DETECTORS[EMAIL], DETECTORS[IP]]))).first()[0]
+    text = df.select(pii.suggestion(S.detect_all("raw", [DETECTORS[EMAIL], DETECTORS[IP]]))).first()[0]
     assert text.startswith("Detected PII types: EmailDetector, IpAddressDetector. Recommended action")
 
 

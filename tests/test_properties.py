@@ -45,7 +45,7 @@ def brute(text):
 
 
 def test_spans_equal_brute_force(spark):
-    rows = frame(spark).select("raw", S.detect_all(F.col("raw"), CHOSEN).alias("s")).collect()
+    rows = frame(spark).select("raw", S.detect_all("raw", CHOSEN).alias("s")).collect()
     found = 0
     for r in rows:
         mine = [(s["start"], s["end"], s["ord"], s["type"], s["text"]) for s in r["s"]]
@@ -92,7 +92,7 @@ def test_counts_equal_spans(spark):
 def test_parts_on_separate_lines_are_found_together(spark):
     a, b = "mail a@b.example.com", "from 10.0.0.1"
     df = spark.createDataFrame([(a,), (b,), (a + "\n" + b,)], "raw string")
-    found = [[s["text"] for s in r[0]] for r in df.select(S.detect_all(F.col("raw"), CHOSEN)).collect()]
+    found = [[s["text"] for s in r[0]] for r in df.select(S.detect_all("raw", CHOSEN)).collect()]
     assert found[2] == found[0] + found[1]
 
 

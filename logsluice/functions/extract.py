@@ -102,16 +102,25 @@ def syslog_5424(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 # --- Key-value pairs ----------------------------------------------------------------------------
 
+_AROUND_VALUE = ' \t\n\r\x0b\f"'
+
+
 def _split_pairs(matches: Column, divider: str) -> Column:
-    """``name<divider>value`` texts to structs; quotes around the value go."""
+    """``name<divider>value`` texts to structs. The value holds neither spaces nor quotes inside, so
+    what surrounds it can be trimmed."""
+    return F.transform(matches, lambda match: _pair(
+        F.rtrim(F.substring_index(match, divider, 1)),
+        F.trim(F.substr(match, F.instr(match, divider) + 1), F.lit(_AROUND_VALUE))))
+
+
+def _split_quoted_pairs(matches: Column) -> Column:
+    """``name=value`` texts whose value may hold spaces and quotes: only a closed pair of quotes
+    around all of it goes."""
     def cut(match: Column) -> Column:
-        at = F.instr(match, divider)
-        value = F.ltrim(F.substr(match, at + 1))
-        bare = F.when(
-            value.startswith('"') & value.endswith('"') & (F.length(value) > 1),
-            F.substr(value, F.lit(2), F.length(value) - 2),
-        ).otherwise(value)
-        return _pair(F.rtrim(F.substr(match, F.lit(1), at - 1)), bare)
+        value = F.substr(match, F.instr(match, "=") + 1)
+        return _pair(F.substring_index(match, "=", 1), bind(value, lambda v: F.when(
+            v.startswith('"') & v.endswith('"') & (F.length(v) > 1),
+            F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)))
 
     return F.transform(matches, cut)
 
@@ -142,12 +151,13 @@ def kv_dialects(raw: Column) -> Column:
 
 def kv_quoted(raw: Column) -> Column:
     """Pairs whose quoted value may hold spaces; unquoted values end at a comma."""
-    return _split_pairs(F.regexp_extract_all(raw, F.lit(P.KV_QUOTED), F.lit(0)), "=")
+    return _split_quoted_pairs(F.regexp_extract_all(raw, F.lit(P.KV_QUOTED), F.lit(0)))
 
 
 def pair_value(pairs: Column, name: str) -> Column:
     """The first value under a name, NULL if absent."""
-    return F.get(F.filter(pairs, lambda p: p["name"] == name), 0)["value"]
+    place = F.array_position(pairs["name"], F.lit(name)).cast("int")
+    return F.get(pairs["value"], place - 1)
 
 
 # --- JSON ---------------------------------------------------------------------------------------

@@ -176,6 +176,19 @@ def existing_fields(df: DataFrame, by: str, order: str) -> DataFrame:
         F.lit(P.CONFIDENCE["existing"]).alias("confidence"), F.lit(EXISTING).alias("source"))
 
 
+def sample_values(
+    df: DataFrame, by: str, order: str, text: str, patterns: dict[str, str],
+) -> DataFrame:
+    """Per group, the first value that each field pattern yields, by ``order``; one column a field.
+
+    Values are narrow, and the text itself does not reach the aggregate.
+    """
+    values = df.select(by, order, *[
+        X.preview_value(F.col(text), p, n).alias(n) for n, p in patterns.items()])
+    return values.groupBy(by).agg(*[
+        F.min_by(n, F.when(F.col(n).isNotNull(), F.col(order))).alias(n) for n in patterns])
+
+
 # --- Sets of records ----------------------------------------------------------------------------
 
 def upsert_source(catalogue: DataFrame, fresh: DataFrame, source: str) -> DataFrame:

@@ -77,8 +77,7 @@ def valid_items(items: DataFrame, fields: DataFrame, model_fields: DataFrame, by
     """Suggestions for a field that exists and a model field of the model."""
     known = fields.select(by, F.col("name").alias("field")).distinct()
     targets = model_fields.select(F.col("cim_field").alias("cimField")).distinct()
-    return items.join(known, [by, "field"], "left_semi").join(
-        F.broadcast(targets), "cimField", "left_semi")
+    return items.join(known, [by, "field"], "left_semi").join(targets, "cimField", "left_semi")
 
 
 def rejected_items(items: DataFrame, fields: DataFrame, model_fields: DataFrame, by: str) -> DataFrame:
@@ -86,7 +85,7 @@ def rejected_items(items: DataFrame, fields: DataFrame, model_fields: DataFrame,
     known = fields.select(by, F.col("name").alias("field")).distinct().withColumn("_known", F.lit(True))
     targets = model_fields.select(
         F.col("cim_field").alias("cimField")).distinct().withColumn("_target", F.lit(True))
-    flagged = items.join(known, [by, "field"], "left").join(F.broadcast(targets), "cimField", "left")
+    flagged = items.join(known, [by, "field"], "left").join(targets, "cimField", "left")
     reason = F.when(F.col("_known").isNull(), "unknown field").when(
         F.col("_target").isNull(), "unknown model field")
     return flagged.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_known", "_target")

@@ -298,10 +298,8 @@ def ext_combined(spark, folder):
 SELECT source, arg_min(v, doc_id) FILTER (v IS NOT NULL) AS value FROM (
   SELECT source, doc_id, nullif(regexp_extract(text, '@mail(\\d)', 1), '') AS v FROM documents) GROUP BY source""")
 def ext_sample_values(spark, folder):
-    docs = table(spark, folder, "documents").select(
-        "source", "doc_id", X.preview_value(F.col("text"), r"@mail(?<host_no>\d)", "host_no").alias("v"))
-    order = F.when(F.col("v").isNotNull(), F.col("doc_id"))
-    return docs.groupBy("source").agg(F.min_by("v", order).alias("value"))
+    return fields.sample_values(
+        table(spark, folder, "documents"), "source", "doc_id", "text", {"value": r"@mail(?<host_no>\d)"})
 
 
 # --- Compiled patterns --------------------------------------------------------------------------

@@ -64,7 +64,7 @@ def _detect_sql(text: str, detector: Detector, order: int) -> str:
             named_struct('pos', 0, 'out', CAST(array() AS {SPANS_TYPE})),
             (acc, p) -> named_struct(
                 'pos', acc.pos + p.gap + length(p.m),
-                'out', CAST(concat(acc.out, array({span})) AS {SPANS_TYPE})),
+                'out', concat(acc.out, array({span}))),
             acc -> acc.out),
         s -> length(trim(s.text)) >= {MIN_SPAN_CHARS})
         ELSE CAST(array() AS {SPANS_TYPE}) END"""

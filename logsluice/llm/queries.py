@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsluice.llm import kneser_ney, simhash
+from logsluice.llm import decontaminate, kneser_ney, simhash
 from logsluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,41 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Words of a text in DuckDB: A-Z lower-cased, runs of digits, letters and all beyond ASCII.
+SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+OP2_SQL = f"""
+WITH items AS (
+  SELECT item_id, w, least(10, len(w)) AS size FROM (SELECT item_id, {SQL_WORDS} AS w FROM benchmark)
+  WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i + 1 : i + size], ' ') AS t
+  FROM (SELECT *, unnest(range(0, len(w) - size + 1)) AS i FROM items)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {SQL_WORDS} AS w FROM documents),
+places AS (
+  SELECT r, size, i, array_to_string(w[i + 1 : i + size], ' ') AS t
+  FROM (SELECT r, w, size, unnest(range(0, len(w) - size + 1)) AS i
+        FROM docs, (SELECT DISTINCT size FROM windows))),
+hits AS (SELECT r, i, size, item_id FROM places JOIN windows USING (size, t)),
+covered AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS j FROM hits) GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
+
+
+@query("op2_decontamination", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))

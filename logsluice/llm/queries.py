@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsluice.llm import decontaminate, kneser_ney, simhash
+from logsluice.llm import decontaminate, kneser_ney, mixing, simhash
 from logsluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,36 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Target shares of the mixture; all other sources share the rest.
+MIX_WEIGHTS = {"src0": 0.15, "src1": 0.10, "src2": 0.10, "src3": 0.05}
+MIX_REST = 0.60
+
+_SHARES = " ".join(f"WHEN '{s}' THEN {w / (sum(MIX_WEIGHTS.values()) + MIX_REST)!r}" for s, w in MIX_WEIGHTS.items())
+_NAMED = ", ".join(f"'{s}'" for s in MIX_WEIGHTS)
+OP1_SQL = f"""
+WITH docs AS (
+  SELECT *, CASE WHEN source IN ({_NAMED}) THEN source ELSE '' END AS bucket,
+    coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents),
+totals AS (SELECT bucket, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS chars FROM docs GROUP BY bucket),
+rates AS (
+  SELECT bucket, least(CASE bucket {_SHARES} ELSE {MIX_REST / (sum(MIX_WEIGHTS.values()) + MIX_REST)!r} END
+    * (SELECT sum(chars) FROM totals) / chars, {mixing.MAX_RATE}) AS rate
+  FROM totals WHERE chars > 0),
+steps AS (
+  SELECT bucket, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY bucket ORDER BY k) AS step
+  FROM rates, (SELECT unnest(range(0, 250)) AS k) WHERE rate > 0),
+drawn AS (
+  SELECT *, CAST('0x' || md5('{mixing.SEED}/' || key || '/count')[1:13] AS BIGINT) / 4503599627370496.0 AS u FROM docs)
+SELECT doc_id, source, text, k AS mix_copy, md5('{mixing.SEED}/' || key || '/' || k) AS mix_order
+FROM drawn JOIN steps USING (bucket) WHERE step <= u"""
+
+
+@query("op1_source_mixing", OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"), MIX_WEIGHTS, MIX_REST)
+    return mixed.select("doc_id", "source", "text", F.col("mix_copy").cast("long").alias("mix_copy"), "mix_order")
+
+
 # Words of a text in DuckDB: A-Z lower-cased, runs of digits, letters and all beyond ASCII.
 SQL_WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsluice.llm import decontaminate, kneser_ney, mixing, simhash
+from logsluice.llm import decontaminate, kneser_ney, mixing, personal, simhash
 from logsluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels")).withColumnRenamed(
         "id", "doc_id")
+
+
+@query("op6_personal_data")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.find_spans(table(spark, folder, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
+              for k in personal.KINDS]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(personal.digest(base_only=True), 256).alias("base_sha256"),
+        personal.digest().alias("spans"))

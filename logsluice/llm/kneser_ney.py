@@ -206,27 +206,35 @@ class HashTable:
 
 
 class Shard:
-    """The part of the model for positions whose two characters before fall into shard ``number``."""
+    """The part of the model for positions whose two characters before fall into shard ``number``.
 
-    def __init__(self, number: int, count: int, keys: np.ndarray, logp: np.ndarray, gamma: np.ndarray):
+    It travels as plain arrays; each worker builds its lookup tables once.
+    """
+
+    def __init__(self, number: int, count: int, entries: tuple, contexts: tuple):
         self.number, self.count = number, count
-        entry = ~np.isnan(logp)
-        self.logp = HashTable(keys[entry], logp[entry])
-        self.gamma = HashTable(keys[~entry], gamma[~entry])
+        self.rows, self.tables = (entries, contexts), None
         self.floor = np.float32(-CHAR_BITS * np.log(2))
 
+    def ready(self) -> Shard:
+        if self.tables is None:
+            self.tables = [HashTable(*rows) for rows in self.rows]
+            self.rows = None
+        return self
+
     def score(self, codes: np.ndarray) -> np.ndarray:
         """Log-probability of the last character of each n-gram, given those before."""
+        logp, gamma = self.tables
         out = np.zeros(len(codes), np.float32)
         open_ = np.arange(len(codes))
         for k in range(ORDER, 0, -1):
             tail = codes[open_] & ((1 << k * CHAR_BITS) - 1)
-            found, value = self.logp.find(tail | (k << _ORDER_SHIFT))
+            found, value = logp.find(tail | (k << _ORDER_SHIFT))
             out[open_[found]] += value[found]
             open_, tail = open_[~found], tail[~found]
             if not len(open_):
                 return out
-            _, weight = self.gamma.find((tail >> CHAR_BITS) | ((k - 1) << _ORDER_SHIFT))
+            _, weight = gamma.find((tail >> CHAR_BITS) | ((k - 1) << _ORDER_SHIFT))
             out[open_] += weight
         out[open_] += self.floor
         return out
@@ -253,16 +261,20 @@ def shards(model: DataFrame | None, shard_entries: int = SHARD_ENTRIES) -> Itera
     count = max(1, -(-model.count() // shard_entries))
     placed = model.withColumn("shard", _shard_number(F.col("key"), count))
     for s in range(count):
-        rows = placed.filter(F.col("shard").isNull() | (F.col("shard") == s)).select("key", "logp", "gamma").toPandas()
-        shard = Shard(s, count, rows["key"].to_numpy(np.int64), rows["logp"].to_numpy(np.float64),
-                      rows["gamma"].to_numpy(np.float64))
-        yield model.sparkSession.sparkContext.broadcast(shard)
+        own = placed.filter(F.col("shard").isNull() | (F.col("shard") == s))
+        rows = [_arrays(own.filter(F.col(v).isNotNull()).select("key", F.col(v).cast("float"))) for v in ("logp", "gamma")]
+        yield model.sparkSession.sparkContext.broadcast(Shard(s, count, *rows))
+
+
+def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = rows.toArrow().columns
+    return keys.to_numpy(), values.to_numpy()
 
 
 # --- scoring --------------------------------------------------------------------------------------
 
 def _scored(batches: Iterator[pa.RecordBatch], part: Broadcast) -> Iterator[pa.RecordBatch]:
-    shard = part.value
+    shard = part.value.ready()
     for batch in batches:
         texts = binary_column(batch, "text")
         total, places = np.zeros(len(texts)), np.zeros(len(texts), np.int64)

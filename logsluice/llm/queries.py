@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsluice.llm import decontaminate, kneser_ney, mixing, personal, simhash
+from logsluice.llm import decontaminate, kneser_ney, mixing, personal, quality_rules, simhash
 from logsluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), *counts, F.sha2(personal.digest(base_only=True), 256).alias("base_sha256"),
         personal.digest().alias("spans"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), *quality_rules.COUNTS, "base_failed", "kept")

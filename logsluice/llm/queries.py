@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsluice.llm import decontaminate, kneser_ney, mixing, personal, quality_rules, simhash
+from logsluice.llm import decontaminate, kneser_ney, licenses, mixing, personal, quality_rules, simhash
 from logsluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,58 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+_TEMPLATE_ROWS = ", ".join(
+    f"({i}, '{label}', {base}, '{body}')" for i, (base, label, body) in enumerate(
+        [("true", *p) for p in licenses.PHRASES] + [("false", *t) for t in licenses.TEMPLATES]))
+
+OP4_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {SQL_WORDS} AS w FROM documents),
+templates AS (SELECT *, string_split(body, ' ') AS p FROM (VALUES {_TEMPLATE_ROWS}) AS t(template, label, base, body)),
+sized AS (SELECT *, len(p) AS size FROM templates),
+grams AS (
+  SELECT * EXCLUDE (p), array_to_string(p[q + 1 : q + {licenses.K}], ' ') AS t
+  FROM (SELECT *, unnest(range(0, size - {licenses.K - 1})) AS q FROM sized)),
+places AS (
+  SELECT r, w, i, array_to_string(w[i + 1 : i + {licenses.K}], ' ') AS t
+  FROM (SELECT r, w, unnest(range(0, len(w) - {licenses.K - 1})) AS i FROM docs)),
+hits AS (
+  SELECT r, template, label, base, size, q, i - q AS diagonal,
+    i >= q AND q = 0 AND array_to_string(w[i + 1 : i + size], ' ') = body AS exact
+  FROM places JOIN grams USING (t)),
+votes AS (
+  SELECT r, template, label, base, size, diagonal, count(*) AS votes, bool_or(exact) AS exact, min(q) AS q_min, max(q) AS q_max
+  FROM hits GROUP BY ALL),
+apart AS (
+  SELECT *, CASE WHEN base THEN 1 WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal)
+    > {licenses.BAND} THEN 1 ELSE 0 END AS apart FROM votes),
+runs AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM apart),
+spans AS (
+  SELECT r, template, label, base, size, run, least(1.0, sum(votes) / (size - {licenses.K - 1})) AS share, bool_or(exact) AS exact,
+    min(diagonal + q_min) AS first, max(diagonal + q_max) + {licenses.K} AS last
+  FROM runs GROUP BY r, template, label, base, size, run),
+found AS (
+  SELECT * FROM spans WHERE CASE WHEN base THEN exact
+    ELSE share >= {licenses.COVERAGE} AND last - first <= {licenses.LONGEST} * size END),
+summed AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, CAST(max(share) AS DOUBLE) AS score
+  FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN summed USING (r)"""
+
+
+@query("op4_license_scan", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in (
+            "n_words", "n_base", "first_word", "last_word")],
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))

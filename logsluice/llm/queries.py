@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsluice.llm import decontaminate, kneser_ney, licenses, mixing, personal, quality_rules, simhash
+from logsluice.llm import decontaminate, kneser_ney, licenses, mixing, personal, quality_rules, secrets_scan, simhash
 from logsluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _base_count(kind: str):
+    spans = F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
+    return F.size(spans).cast("long").alias(f"n_{kind}")
+
+
 # Target shares of the mixture; all other sources share the rest.
 MIX_WEIGHTS = {"src0": 0.15, "src1": 0.10, "src2": 0.10, "src3": 0.05}
 MIX_REST = 0.60
@@ -147,6 +152,44 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def _rule_sql(rank: int, rule: secrets_scan.Rule) -> str:
+    """Spans of one rule: the matches and the pieces between them, placed by a running sum."""
+    pattern = rule.pattern.replace("'", "''")
+    value = f"regexp_extract(m, '{pattern}', {rule.group})" if rule.group else "m"
+    return f"""
+      SELECT r, {rank} AS rank, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, last - length(m) AS first, last
+      FROM (SELECT r, m, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS last
+            FROM (SELECT r, unnest(hits) AS m, unnest(gaps[1:len(hits)]) AS g, unnest(range(0, len(hits))) AS i
+                  FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS hits,
+                          string_split_regex(text, '{pattern}') AS gaps FROM docs)))
+      WHERE length({value}) >= {rule.at_least}"""
+
+
+_BASE_KINDS = [r.kind for r in secrets_scan.RULES if r.base]
+OP8_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+every AS ({" UNION ALL ".join(_rule_sql(i, r) for i, r in enumerate(secrets_scan.RULES))}),
+kept AS (
+  SELECT *, kind || ':' || CAST(first AS BIGINT) || ':' || CAST(last AS BIGINT) AS span FROM every AS e
+  WHERE base OR NOT EXISTS (SELECT 1 FROM every AS b WHERE b.base AND b.r = e.r AND b.first < e.last AND e.first < b.last)),
+summed AS (
+  SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _BASE_KINDS)},
+    string_agg(span, ',' ORDER BY first, rank) FILTER (base) AS base, string_agg(span, ',' ORDER BY first, rank) AS spans
+  FROM kept GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans
+FROM docs LEFT JOIN summed USING (r)"""
+
+
+@query("op8_secret_scan", OP8_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets_scan.scan(table(spark, folder, "documents"))
+    counts = [_base_count(k) for k in _BASE_KINDS]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(secrets_scan.digest(base_only=True), 256).alias("base_sha256"),
+        secrets_scan.digest().alias("spans"))
+
+
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels")).withColumnRenamed(
@@ -156,8 +199,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_personal_data")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = personal.find_spans(table(spark, folder, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
-              for k in personal.KINDS]
+    counts = [_base_count(k) for k in personal.KINDS]
     return found.select(
         F.col("id").alias("doc_id"), *counts, F.sha2(personal.digest(base_only=True), 256).alias("base_sha256"),
         personal.digest().alias("spans"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsluice.llm import chat, decontaminate, kneser_ney, licenses, mixing, personal, quality_rules, secrets_scan, simhash
+from logsluice.llm import chat, decontaminate, kneser_ney, licenses, mixing, personal, quality_rules, secrets_scan, simhash, warc
 from logsluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +181,24 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+OP7_SQL = """
+WITH pages_ AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+last AS (SELECT sha, max(page_id) AS last FROM pages_ GROUP BY sha)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (CAST('0x' || substr(sha, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM pages_ JOIN last USING (sha)"""
+
+
+@query("op7_warc", OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.archive_and_read(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _rule_sql(rank: int, rule: secrets_scan.Rule) -> str:
     """Spans of one rule: the matches and the pieces between them, placed by a running sum."""
     pattern = rule.pattern.replace("'", "''")

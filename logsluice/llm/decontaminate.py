@@ -266,4 +266,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     found = contamination(docs, items, id_col=id_col, **options)
     bad = found.filter("(contaminated OR size(near_items) > 0) AND id IS NOT NULL")
     gone = small(cut(bad.select(F.col("id").alias("_gone")).distinct()))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")

@@ -362,4 +362,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **opti
     judged = classify(docs, labels, id_col, **options)
     gone = judged.groupBy("id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept AND id IS NOT NULL")
     gone = small(cut(gone.select(F.col("id").alias("_gone"))))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

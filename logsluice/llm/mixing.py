@@ -90,15 +90,17 @@ def mix(
     same number of copies each; NULL ids count as one id. An empty table gives an empty mixture. Columns named like those added
     are replaced.
     """
-    rates = F.broadcast(source_rates(docs, weights, rest, size, source_col, text_col, max_rate).select(
-        F.col("bucket").alias("_bucket"), F.col("rate").alias("mix_rate"), poisson_steps(F.col("rate")).alias("_steps")))
-    added = ("mix_rate", "mix_copy", "mix_order")
-    rows = docs.drop(*added)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    rows = rows.join(rates, _bucket(weights, source_col).eqNullSafe(F.col("_bucket")))
-    draw = rows.withColumn("_u", uniform(F.lit(seed), key, F.lit("count")))
-    copies = F.size(F.filter("_steps", lambda step: step <= F.col("_u")))
-    out = draw.withColumn("_n", copies).filter("_n > 0").withColumn(
-        "mix_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_bucket", "_steps", "_u", "_n")
-    out = out.withColumn("mix_order", F.md5(F.concat_ws("/", F.lit(seed), key, F.col("mix_copy").cast("string"))))
+    rates = F.broadcast(source_rates(docs, weights, rest, size, source_col, text_col, max_rate).withColumn(
+        "steps", poisson_steps(F.col("rate"))))
+    kept = [c for c in docs.columns if c not in ("mix_rate", "mix_copy", "mix_order")]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), _bucket(weights, source_col).alias("doc_bucket"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"))
+    rows = rows.join(rates, F.col("doc_bucket").eqNullSafe(F.col("bucket"))).withColumn(
+        "u", uniform(F.lit(seed), F.col("key"), F.lit("count")))
+    drawn = rows.withColumn("copies", F.size(F.filter("steps", lambda step: step <= F.col("u")))).filter("copies > 0")
+    out = drawn.select("doc", "key", "rate", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    out = out.select(
+        "doc.*", F.col("rate").alias("mix_rate"), F.col("copy").alias("mix_copy"),
+        F.md5(F.concat_ws("/", F.lit(seed), "key", F.col("copy").cast("string"))).alias("mix_order"))
     return out.repartitionByRange("mix_order").sortWithinPartitions("mix_order")

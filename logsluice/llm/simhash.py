@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logsluice.llm.common import binary_column, cut, small
 
@@ -164,7 +165,7 @@ def _levels(budget: int, group_rows: int) -> list[list[tuple[int, list[int]]]]:
     while any(1 << (BITS - bin(m).count("1")) > group_rows for m in level):
         split = [(m, _bands(m, budget + 1)) for m in level]
         levels.append(split)
-        level = [w for _, wider in split for w in wider]
+        level = sorted({w for _, wider in split for w in wider})
         if len(levels) > 8:
             break
     return levels
@@ -188,7 +189,7 @@ def _groups(distinct: DataFrame, budget: int, group_rows: int) -> DataFrame:
         wider = F.create_map(*[x for mask, masks in level for x in (
             F.lit(_signed(mask)).cast("long"), F.array(*[F.lit(_signed(m)).cast("long") for m in masks]))])
         frame = cut(frame.join(large, ["mask", "value"], "left_semi").select(
-            F.explode(wider[F.col("mask")]).alias("mask"), "fp"))
+            F.explode(wider[F.col("mask")]).alias("mask"), "fp").distinct())  # two masks may widen to the same one
     frame = frame.select("mask", "fp")
     return frame if done is None else done.unionByName(frame)
 
@@ -255,21 +256,34 @@ def fingerprint_hex(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def _with_fingerprint(batches: Iterator[pa.RecordBatch], text_col: str, words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [fingerprint(t, words) for t in binary_column(batch, text_col)]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.array(found, np.uint64).view(np.int64))], [*batch.schema.names, "_fp"])
+
+
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, **options,
 ) -> DataFrame:
     """One document of each component, that with the smallest id; all columns of ``docs``.
 
-    Rows that repeat an id keep one of those with the same fingerprint. Rows without an id stay, as
-    no decision can name them. Only the ids that go are joined to the texts.
+    Of rows that repeat both an id and a fingerprint one stays; rows that share an id only are judged each. Rows
+    without an id stay, as no decision can name them. Only ids are joined to the texts, and the rows of
+    repeated ids find their decision by id and fingerprint.
     """
-    found = cut(near_duplicates(docs, id_col, text_col, **options).filter(F.col("id").isNotNull()))
-    stays = found.filter("id = component_id")
-    goes = small(cut(found.filter("id <> component_id").select(F.col("id").alias("_gone")).distinct()))
-    again = small(cut(stays.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_again"))))
-    key = F.col(id_col).cast("long")
-    kept = docs.join(goes, key == F.col("_gone"), "left_anti")
-    once = kept.join(again, key == F.col("_again"), "left_anti")
-    if again.isEmpty():
+    found = cut(near_duplicates(docs, id_col, text_col, words, **options).filter(F.col("id").isNotNull()))
+    repeated = small(cut(found.groupBy("id").count().filter("count > 1").select("id")))
+    goes = small(cut(found.filter("id <> component_id").select("id").distinct()))
+    key = docs[id_col].cast("long")
+    once = docs.join(repeated, key == repeated["id"], "left_anti").join(goes, key == goes["id"], "left_anti")
+    if repeated.isEmpty():
         return once
-    return once.unionByName(kept.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col]))
+    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+    again = docs.join(repeated, key == repeated["id"], "left_semi").mapInArrow(
+        partial(_with_fingerprint, text_col=text_col, words=words), schema)
+    stays = small(cut(found.filter("id = component_id").join(repeated, "id", "left_semi").select(
+        F.col("id").alias("_id"), F.col("fp").alias("_stays")).distinct()))
+    again = again.join(
+        stays, (again[id_col].cast("long") == stays["_id"]) & (again["_fp"] == stays["_stays"]), "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, "_fp"]).drop("_fp"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logsluice.functions import patterns as P
 from logsluice.functions.regexlang import split_named_groups
-from logsluice.functions.rows import bind
+from logsluice.functions.rows import bind, first_flags
 
 _MARK, _SEP = "\x1e", "\x1f"
 _PAIRS = "array<struct<name:string,value:string>>"
@@ -125,14 +125,13 @@ def _split_quoted_pairs(matches: Column) -> Column:
     return F.transform(matches, cut)
 
 
-def first_per_name(pairs: Column, value_type: str = "string") -> Column:
-    """Keep the first pair of each name. A line has few names, so this stays inside the row."""
-    def step(kept: Column, pair: Column) -> Column:
-        known = F.exists(kept, lambda k: k["name"] == pair["name"])
-        return F.when(known, kept).otherwise(F.concat(kept, F.array(pair)))
+def first_per_name(pairs: Column) -> Column:
+    """Keep the first pair of each name, in order."""
+    def first(every: Column) -> Column:
+        kept = F.filter(first_flags(F.transform(every, lambda p: p["name"])), lambda f: f["first"])
+        return F.transform(kept, lambda f: F.get(every, f["place"]))
 
-    none = F.array().cast(f"array<struct<name:string,value:{value_type}>>")
-    return F.aggregate(pairs, none, step)
+    return bind(pairs, first)
 
 
 def kv_pairs(raw: Column) -> Column:
@@ -170,7 +169,7 @@ def json_pairs(raw: Column) -> Column:
     entries = F.map_entries(F.from_json(raw, "map<string,variant>"))
     pairs = F.transform(
         F.reverse(entries), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
-    return F.reverse(first_per_name(pairs, "variant"))
+    return F.reverse(first_per_name(pairs))
 
 
 def variant_text(value: Column) -> Column:

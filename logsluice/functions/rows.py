@@ -1,4 +1,4 @@
-"""From an array column to rows."""
+"""Array columns: to rows, running totals, first occurrences, pieces of a long text."""
 
 from __future__ import annotations
 
@@ -27,3 +27,59 @@ def each(
     else:
         rows = df.select(*keys, F.posexplode_outer(array).alias(pos, name))
     return rows.filter(F.col(name).isNotNull())
+
+
+# --- Work inside one row, in O(n log n) however long its arrays are ------------------------------------
+
+BLOCK_CHARS = 256
+
+
+def running_sql(values: str, combine: str = "x + y") -> str:
+    """SQL for running totals of an array, each with its own value, by doubling steps.
+
+    ``combine`` joins ``x`` with the total ``y`` in front of it. Growing an array element by element would
+    copy it each time.
+    """
+    steps = f"sequence(0, greatest(CAST(ceil(log2(greatest(size({values}), 1))) AS INT) - 1, 0))"
+    return f"""aggregate({steps}, {values}, (acc, k) -> transform(acc, (x, i) ->
+        CASE WHEN i >= shiftleft(1, k) THEN transform(array(acc[i - shiftleft(1, k)]), y -> {combine})[0] ELSE x END))"""
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Running totals of an array as a column; sums by default."""
+    combine = combine or (lambda x, y: x + y)
+
+    def passes(array: Column) -> Column:
+        last = F.greatest(F.ceil(F.log2(F.greatest(F.size(array), F.lit(1)))).cast("int") - 1, F.lit(0))
+
+        def step(acc: Column, k: Column) -> Column:
+            width = F.pow(F.lit(2), k).cast("int")
+            return bind(width, lambda w: F.transform(acc, lambda x, i: F.when(
+                i >= w, combine(x, F.get(acc, i - w))).otherwise(x)))
+
+        return F.aggregate(F.sequence(F.lit(0), last), array, step)
+
+    return bind(values, passes)
+
+
+def first_flags(names: Column) -> Column:
+    """For each element whether it is the first of its value, as ``array<struct(place, first)>`` by place."""
+    places = F.array_sort(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("place"))))
+    flags = bind(places, lambda every: F.transform(every, lambda e, j: F.struct(
+        e["place"].alias("place"),
+        ((j == 0) | ~e["name"].eqNullSafe(F.get(every, j - 1)["name"])).alias("first"))))
+    return F.array_sort(flags)
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in blocks of ``BLOCK_CHARS`` characters, so that cutting a piece need not start at its front."""
+    return F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+
+def cut_blocks(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters ``[start, end)`` of a text in blocks."""
+    def piece(first: Column) -> Column:
+        count = F.floor((end - 1) / BLOCK_CHARS).cast("int") - first + 1
+        return F.substring(F.array_join(F.slice(blocks, first + 1, count), ""), start - first * BLOCK_CHARS + 1, end - start)
+
+    return F.when(end > start, bind(F.floor(start / BLOCK_CHARS).cast("int"), piece)).otherwise("")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 
 from logsluice.functions import patterns as P
 from logsluice.functions.literals import lookup, sql_text
-from logsluice.functions.rows import bind
+from logsluice.functions.rows import bind, cut_blocks, running, running_sql, text_blocks
 
 SPAN_TYPE = "struct<start:int,end:int,ord:int,type:string,text:string,score:double>"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
@@ -43,38 +43,50 @@ class Detector:
         return cheap & text.rlike(self.pattern)
 
 
+# Noncharacters that set matches apart from the text between them.
+_OPEN, _GROUP, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
 def _detect_sql(text: str, detector: Detector, order: int) -> str:
+    """One replacement marks every match where it stands, a split takes matches and gaps apart, and running
+    totals of their lengths give the offsets.
+
+    Matches, empty ones too, are those of a single run of the pattern over the whole text, so anchors
+    and lookarounds see what they should. Marks that a text already holds count as U+FFFD.
+    """
     pattern = sql_text(detector.pattern)
     gate = f"{text} RLIKE {pattern}"
     if detector.gate is not None:
         cheap = sql_text(detector.gate)
         gate = (f"contains({text}, {cheap})" if detector.gate_is_literal else f"{text} RLIKE {cheap}") + f" AND {gate}"
-    lead = f"length(regexp_extract(p.m, {pattern}, 1))" if detector.in_context else "0"
-    value = f"regexp_extract(p.m, {pattern}, 2)" if detector.in_context else "p.m"
-    begin = f"(acc.pos + p.gap + {lead})"
+    clean = (
+        f"CASE WHEN {text} RLIKE '[{_OPEN}{_GROUP}{_CLOSE}]' "
+        f"THEN translate({text}, '{_OPEN}{_GROUP}{_CLOSE}', '\ufffd\ufffd\ufffd') ELSE {text} END")
+    groups = f"$1{_GROUP}$2{_GROUP}$0" if detector.in_context else "$0"
+    marked = f"regexp_replace({clean}, {pattern}, '{_OPEN}{groups}{_CLOSE}')"
+    part = (lambda i: f"substring_index(substring_index(m, '{_GROUP}', {i + 1}), '{_GROUP}', -1)")
+    rest = part(2) if detector.in_context else "m"
+    whole = f"substring_index({rest}, '{_CLOSE}', 1)"
+    lead, value = (f"length({part(0)})", part(1)) if detector.in_context else ("0", whole)
+    hits = (
+        f"transform(slice(pieces, 2, size(pieces) - 1), m -> named_struct('lead', {lead}, 'text', {value}, "
+        f"'whole', length({whole}), 'both', length({rest}) - 1))")
+    begin = "length(pieces[0]) + ends[n] - h.both + h.lead"
     span = (
-        f"named_struct('start', {begin}, 'end', {begin} + length({value}), 'ord', {order}, "
-        f"'type', {sql_text(detector.name)}, 'text', {value}, 'score', {detector.score}D)")
-    # There is one more gap than matches; its empty match drops out with the short ones.
-    return f"""CASE WHEN {gate} THEN filter(
-        aggregate(
-            zip_with(
-                regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1),
-                (m, g) -> named_struct('m', m, 'gap', length(g))),
-            named_struct('pos', 0, 'out', CAST(array() AS {SPANS_TYPE})),
-            (acc, p) -> named_struct(
-                'pos', acc.pos + p.gap + length(p.m),
-                'out', concat(acc.out, array({span}))),
-            acc -> acc.out),
-        s -> length(trim(s.text)) >= {MIN_SPAN_CHARS})
+        f"named_struct('start', {begin}, 'end', {begin} + length(h.text), 'ord', {order}, "
+        f"'type', {sql_text(detector.name)}, 'text', h.text, 'score', {detector.score}D)")
+    return f"""CASE WHEN {gate} THEN
+        transform(array(split({marked}, '{_OPEN}')), pieces ->
+          transform(array({hits}), hits ->
+            transform(array({running_sql("transform(hits, h -> h.both)")}), ends ->
+              filter(transform(hits, (h, n) -> {span}), s -> length(trim(s.text)) >= {MIN_SPAN_CHARS}))[0])[0])[0]
         ELSE CAST(array() AS {SPANS_TYPE}) END"""
 
 
 def detect(text: str, detector: Detector, order: int = 0) -> Column:
     """All spans of one detector in the named column.
 
-    The matches and the gaps between them cover the text, so a running sum of their lengths gives
-    the offsets. Texts without a match stop at the gate or at the first failed scan.
+    Texts without a match stop at the gate or at the first failed scan.
     """
     return F.expr(_detect_sql(f"`{text}`", detector, order))
 
@@ -102,17 +114,14 @@ def _by_position_then_score(spans: Column) -> Column:
 
 def best_per_position(spans: Column) -> Column:
     """Of spans at the same place keep the highest score, the earlier detector on a tie."""
-    def step(acc: Column, span: Column) -> Column:
-        last = acc["last"]
-        same = (last["start"] == span["start"]) & (last["end"] == span["end"])
-        return F.struct(
-            span.alias("last"),
-            F.when(F.coalesce(same, F.lit(False)), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+    def first_at_place(every: Column) -> Column:
+        def differs(span: Column, i: Column) -> Column:
+            last = F.get(every, i - 1)
+            return (i == 0) | (last["start"] != span["start"]) | (last["end"] != span["end"])
+
+        return F.filter(every, differs)
 
-    start = F.struct(
-        F.lit(None).cast(SPAN_TYPE).alias("last"), F.array().cast(SPANS_TYPE).alias("out"))
-    return F.aggregate(_by_position_then_score(spans), start, step, lambda acc: acc["out"])
+    return bind(_by_position_then_score(spans), first_at_place)
 
 
 def merge_overlaps(spans: Column) -> Column:
@@ -121,28 +130,26 @@ def merge_overlaps(spans: Column) -> Column:
     The leading span starts first; among equals the shorter sorts first, then the earlier detector.
     Expects spans sorted by position.
     """
-    def island(start: Column, end: Column, type_: Column, spans_: Column) -> Column:
-        return F.struct(
-            start.alias("start"), end.alias("end"), type_.alias("type"), spans_.alias("spans"))
-
-    def step(acc: Column, span: Column) -> Column:
-        open_ = acc["open"]
-        joins = F.coalesce(span["start"] < open_["end"], F.lit(False))
-        grown = island(
-            open_["start"], F.greatest(open_["end"], span["end"]), open_["type"],
-            open_["spans"] + 1)
-        fresh = island(span["start"], span["end"], span["type"], F.lit(1))
-        done = F.when(joins | open_.isNull(), acc["done"]).otherwise(
-            F.concat(acc["done"], F.array(open_)))
-        return F.struct(F.when(joins, grown).otherwise(fresh).alias("open"), done.alias("done"))
-
-    one = ISLANDS_TYPE[len("array<"):-1]
-    start = F.struct(
-        F.lit(None).cast(one).alias("open"), F.array().cast(ISLANDS_TYPE).alias("done"))
-    return F.aggregate(
-        spans, start, step,
-        lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(
-            F.concat(acc["done"], F.array(acc["open"]))))
+    def islands(parts: Column) -> Column:
+        every, reach = parts["spans"], parts["reach"]
+        leads = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda i: (
+            i == 0) | (F.get(every, i)["start"] >= F.get(reach, i - 1)))
+
+        def build(first: Column) -> Column:
+            def one(lead: Column, n: Column) -> Column:
+                following = F.coalesce(F.get(first, n + 1), F.size(every))
+                span = F.get(every, lead)
+                return F.struct(
+                    span["start"].alias("start"), F.get(reach, following - 1).alias("end"), span["type"].alias("type"),
+                    (following - lead).alias("spans"))
+
+            return F.transform(first, one)
+
+        return bind(leads, build)
+
+    reach = running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    return F.when(F.size(spans) > 0, bind(F.struct(spans.alias("spans"), reach.alias("reach")), islands)).otherwise(
+        F.array().cast(ISLANDS_TYPE))
 
 
 def redaction_label(type_: Column) -> Column:
@@ -150,18 +157,16 @@ def redaction_label(type_: Column) -> Column:
 
 
 def replace_islands(text: Column, islands: Column, label) -> Column:
-    """Rebuild the text in one pass with each island replaced by ``label(type)``."""
-    def step(acc: Column, isle: Column) -> Column:
-        gap = F.substring(text, acc["pos"] + 1, isle["start"] - acc["pos"])
-        return F.struct(
-            isle["end"].alias("pos"),
-            F.concat(acc["parts"], F.array(gap, label(isle["type"]))).alias("parts"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
-    rebuilt = F.aggregate(
-        islands, start, step,
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["pos"] + 1)))
-    return F.when(F.size(islands) > 0, rebuilt).otherwise(text)
+    """Rebuild the text with each island replaced by ``label(type)``; linear in the text."""
+    def rebuild(parts: Column) -> Column:
+        blocks, isles = parts["blocks"], parts["isles"]
+        before = F.transform(isles, lambda isle, i: F.concat(
+            cut_blocks(blocks, F.coalesce(F.get(isles, i - 1)["end"], F.lit(0)), isle["start"]), label(isle["type"])))
+        tail = cut_blocks(blocks, F.element_at(isles, -1)["end"], parts["size"])
+        return F.concat(F.array_join(before, ""), tail)
+
+    whole = F.struct(text_blocks(text).alias("blocks"), islands.alias("isles"), F.length(text).alias("size"))
+    return F.when(F.size(islands) > 0, bind(whole, rebuild)).otherwise(text)
 
 
 # --- Field and pattern of a span from its surroundings ------------------------------------------

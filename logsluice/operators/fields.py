@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from logsluice.functions import extract as X
 from logsluice.functions import patterns as P
 from logsluice.functions.literals import text_array
-from logsluice.functions.rows import bind, each
+from logsluice.functions.rows import bind, each, first_flags
 from logsluice.functions.typing import infer_field_type, infer_json_type, pii_flag
 from logsluice.operators.formats import detect_format
 from logsluice.sources.catalog import existing_columns
@@ -235,13 +235,12 @@ def profile(records: DataFrame, lines: DataFrame, by: str = "sourcetype", key: s
 
 def mark_first_in_event(pairs: Column) -> Column:
     """Pairs with a flag on the first occurrence of a name, to count events and not matches."""
-    def step(acc: Column, pair: Column) -> Column:
-        known = F.exists(acc, lambda k: k["name"] == pair["name"])
-        return F.concat(acc, F.array(F.struct(
-            pair["name"].alias("name"), pair["value"].alias("value"), (~known).alias("first"))))
+    def marked(every: Column) -> Column:
+        return F.transform(first_flags(F.transform(every, lambda p: p["name"])), lambda f: F.struct(
+            F.get(every, f["place"])["name"].alias("name"), F.get(every, f["place"])["value"].alias("value"),
+            f["first"].alias("first")))
 
-    none = F.array().cast("array<struct<name:string,value:string,first:boolean>>")
-    return F.aggregate(pairs, none, step)
+    return bind(pairs, marked)
 
 
 def type_profile(records: DataFrame, by: str = "sourcetype") -> DataFrame:

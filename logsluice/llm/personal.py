@@ -169,9 +169,14 @@ def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, text_col: str = "text", steps: int = STEPS) -> Tagger | None:
     """A tagger from a bounded sample of the documents; None if there is too little to learn from."""
     text = F.col(text_col).cast("string")
-    sample = docs.select(text.alias("text")).filter(
-        text.rlike("[0-9@]") & (F.length(text) <= TRAIN_CHARS)).orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCS)
-    codes, tags = training_windows([r["text"] for r in sample.collect()])
+    keyed = docs.select(text.alias("text")).filter(
+        text.rlike("[0-9@]") & (F.length(text) <= TRAIN_CHARS)).withColumn("hash", F.xxhash64("text"))
+    # Which texts is settled on hashes alone; only then are texts fetched, each once.
+    last = keyed.select("hash").distinct().orderBy("hash").limit(TRAIN_DOCS).agg(F.max("hash")).first()[0]
+    if last is None:
+        return None
+    sample = keyed.filter(F.col("hash") <= last).groupBy("hash").agg(F.min("text").alias("text"))
+    codes, tags = training_windows([r["text"] for r in sorted(sample.collect(), key=lambda r: r["hash"])])
     if len(codes) < MIN_WINDOWS or not tags.any():
         return None
     model = Tagger(KINDS)

@@ -284,6 +284,16 @@ def combined_records(raw: Column, pattern: str) -> Column:
         all_matches(raw, pattern), lambda m: group_values(m, positional, len(names)))
 
 
+def preview_values(raw: Column, pattern: str, name: str) -> Column:
+    """What a field pattern yields at every match in a line: the named group, else group 1, else the match.
+
+    Empty values are left out.
+    """
+    positional, names = split_named_groups(pattern)
+    group = names.index(name) + 1 if name in names else 1 if names else 0
+    return F.filter(F.regexp_extract_all(raw, F.lit(positional), F.lit(group)), lambda v: v != "")
+
+
 def preview_value(raw: Column, pattern: str, name: str) -> Column:
     """What a field pattern yields for a line: the named group, else group 1, else the match."""
     positional, names = split_named_groups(pattern)

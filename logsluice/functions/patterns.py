@@ -110,21 +110,26 @@ TIME_FORMATS_SLASH_FIRST = [
     (r"(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2})", "%d/%b/%Y:%H:%M:%S"),
 ]
 
-# strftime format -> (text to cut out, Java format)
+# strftime format -> (text to cut out, Java format). Fractions and zones behind an ISO time are read as well;
+# such text needs no Java format.
 JAVA_TIME_FORMATS = {
-    "%Y-%m-%dT%H:%M:%S": (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "yyyy-MM-dd'T'HH:mm:ss"),
-    "%Y-%m-%d %H:%M:%S": (r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "yyyy-MM-dd HH:mm:ss"),
+    "%Y-%m-%dT%H:%M:%S": (
+        r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?", None),
+    "%Y-%m-%d %H:%M:%S": (
+        r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?", None),
     "%b %d %H:%M:%S": (r"\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}", "MMM d HH:mm:ss"),
     "%d/%b/%Y:%H:%M:%S %z": (
         r"\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}", "dd/MMM/yyyy:HH:mm:ss Z"),
-    "%d/%b/%Y:%H:%M:%S": (r"\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}", "dd/MMM/yyyy:HH:mm:ss"),
-    "%m/%d/%Y %H:%M:%S": (r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}", "MM/dd/yyyy HH:mm:ss"),
-    "%d/%m/%Y %H:%M:%S": (r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}", "dd/MM/yyyy HH:mm:ss"),
-    "%d-%m-%Y %H:%M:%S": (r"\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2}", "dd-MM-yyyy HH:mm:ss"),
-    "%Y%m%d %H:%M:%S": (r"\d{8} \d{2}:\d{2}:\d{2}", "yyyyMMdd HH:mm:ss"),
+    "%d/%b/%Y:%H:%M:%S": (
+        r"\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}(?: [+-]\d{4})?", "dd/MMM/yyyy:HH:mm:ss[ Z]"),
+    "%m/%d/%Y %H:%M:%S": (r"\d{2}/\d{2}/\d{4}\s+\d{2}:\d{2}:\d{2}", "MM/dd/yyyy HH:mm:ss"),
+    "%d/%m/%Y %H:%M:%S": (r"\d{2}/\d{2}/\d{4}\s+\d{2}:\d{2}:\d{2}", "dd/MM/yyyy HH:mm:ss"),
+    "%d-%m-%Y %H:%M:%S": (r"\d{2}-\d{2}-\d{4}\s+\d{2}:\d{2}:\d{2}", "dd-MM-yyyy HH:mm:ss"),
+    "%Y%m%d %H:%M:%S": (r"\d{8}\s+\d{2}:\d{2}:\d{2}", "yyyyMMdd HH:mm:ss"),
 }
 CURRENT_TIME = "CURRENT_TIME"
 DEFAULT_LOOKAHEAD = 25
+WHOLE_LINE = 2**31 - 1
 
 # --- Fixed values: names given to unnamed groups ------------------------------------------------
 

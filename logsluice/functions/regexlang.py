@@ -7,6 +7,7 @@ group name, so a pattern is rewritten once to positional groups plus an ordered
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
@@ -56,19 +57,40 @@ def check_pattern(spark: SparkSession, pattern: str, strict: bool = False) -> st
     """``None`` if Spark accepts the pattern, else the reason.
 
     ``strict`` also rejects doubled quantifiers, of which Java allows two as possessive and
-    reluctant forms.
+    reluctant forms, and patterns that match empty text, as such a match yields no value.
     """
     if strict and any(q in pattern for q in ("**", "++", "??")):
         return "doubled quantifier"
     try:
         re_text = split_named_groups(pattern)[0]
         # A constant query is folded on the driver and starts no job.
-        spark.sql("SELECT regexp_extract('', :pattern, 0)", args={"pattern": re_text}).collect()
+        empty = spark.sql("SELECT regexp_like('', :pattern) AS e", args={"pattern": re_text}).first()["e"]
+        if strict and empty:
+            return "matches empty text"
     except PySparkException as err:
         return str(err).splitlines()[0]
     return None
 
 
+SLOW_MS = 100.0
+
+
+def pattern_millis(spark: SparkSession, pattern: str, sample: str, runs: int = 3) -> float:
+    """Milliseconds that Java needs to find all matches of a pattern in one sample text, the best of some runs.
+
+    More than ``SLOW_MS`` on one sample is too slow for a table of them. The text is a parameter of a
+    constant query, so nothing but planning is added; that share is measured with an empty text and taken off.
+    """
+    re_text = split_named_groups(pattern)[0]
+
+    def once(text: str) -> float:
+        begin = time.perf_counter()
+        spark.sql("SELECT regexp_count(:text, :pattern)", args={"text": text, "pattern": re_text}).collect()
+        return (time.perf_counter() - begin) * 1000
+
+    return max(0.0, min(once(sample) for _ in range(runs)) - min(once("") for _ in range(runs)))
+
+
 def escape_literal(text: str) -> str:
     """Escape text for a pattern, one backslash per special character."""
     return re.sub(r"([\\.^$|?*+()\[\]{}\-])", r"\\\1", text)

@@ -12,8 +12,7 @@ from pyspark.sql import SparkSession
 
 from logsluice.functions.literals import sql_text
 from logsluice.functions.patterns import PII_NAME_PATTERN, PII_VALUE_PATTERN, TYPE_PATTERNS
-from logsluice.functions.regexlang import escape_replacement
-from logsluice.functions.spans import MIN_SPAN_CHARS
+from logsluice.functions.spans import Detector, detect_sql
 
 
 def register(
@@ -23,10 +22,11 @@ def register(
     """Create the functions for this session.
 
     ``rules`` are the ``(pattern, label)`` pairs of ``redact``; ``patterns`` the detector patterns
-    that ``pii_spans(text)`` looks for.
+    that ``pii_spans(text)`` looks for, by default those of all detectors. Its spans have offsets and
+    score; a detector that needs context gives the value alone.
     """
     from logsluice.operators.detectors import DETECTORS
-    from logsluice.operators.redaction import detector_rules
+    from logsluice.operators.redaction import detector_rules, replacement
 
     types = " ".join(f"WHEN value RLIKE {sql_text(p)} THEN '{t}'" for t, p in TYPE_PATTERNS)
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION infer_field_type(value STRING) RETURNS STRING
@@ -34,15 +34,13 @@ def register(
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION pii_flag(name STRING, value STRING) RETURNS BOOLEAN
         RETURN name RLIKE {sql_text(PII_NAME_PATTERN)} OR coalesce(value RLIKE {sql_text(PII_VALUE_PATTERN)}, false)""")
     body = "value"
-    for pattern, label in rules or detector_rules(["EmailDetector", "IpAddressDetector", "CreditCardDetector"]):
-        body = f"regexp_replace({body}, {sql_text(pattern)}, {sql_text(escape_replacement(label))})"
+    for rule in rules or detector_rules(["EmailDetector", "IpAddressDetector", "CreditCardDetector"]):
+        body = f"regexp_replace({body}, {sql_text(rule[0])}, {sql_text(replacement(rule))})"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION redact(value STRING) RETURNS STRING RETURN {body}")
-    wanted = patterns or {n: DETECTORS[n].pattern for n in ("EmailDetector", "IpAddressDetector")}
-    found = ", ".join(
-        f"transform(regexp_extract_all(value, {sql_text(p)}, 0), m -> named_struct('type', {sql_text(n)}, 'text', m))"
-        for n, p in wanted.items())
+    wanted = [Detector(n, p) for n, p in patterns.items()] if patterns else list(DETECTORS.values())
+    found = ", ".join(detect_sql("value", d, i) for i, d in enumerate(wanted))
     # An array, not a table: exploding it stays in the row, while a correlated table function is
     # planned as a join on the text.
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION pii_spans(value STRING)
-        RETURNS ARRAY<STRUCT<type: STRING, text: STRING>>
-        RETURN filter(concat({found}), s -> length(trim(s.text)) >= {MIN_SPAN_CHARS})""")
+        RETURNS ARRAY<STRUCT<start: INT, end: INT, ord: INT, type: STRING, text: STRING, score: DOUBLE>>
+        RETURN sort_array(concat({found}))""")

@@ -47,8 +47,10 @@ class Detector:
 _OPEN, _GROUP, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
-def _detect_sql(text: str, detector: Detector, order: int) -> str:
-    """One replacement marks every match where it stands, a split takes matches and gaps apart, and running
+def detect_sql(text: str, detector: Detector, order: int) -> str:
+    """SQL for the spans of one detector in an expression.
+
+    One replacement marks every match where it stands, a split takes matches and gaps apart, and running
     totals of their lengths give the offsets.
 
     Matches, empty ones too, are those of a single run of the pattern over the whole text, so anchors
@@ -88,12 +90,12 @@ def detect(text: str, detector: Detector, order: int = 0) -> Column:
 
     Texts without a match stop at the gate or at the first failed scan.
     """
-    return F.expr(_detect_sql(f"`{text}`", detector, order))
+    return F.expr(detect_sql(f"`{text}`", detector, order))
 
 
 def detect_all(text: str, detectors: Sequence[Detector]) -> Column:
     """Spans of several detectors, by position; detectors do not see each other."""
-    found = [_detect_sql(f"`{text}`", d, i) for i, d in enumerate(detectors)]
+    found = [detect_sql(f"`{text}`", d, i) for i, d in enumerate(detectors)]
     return F.expr(f"sort_array(concat({', '.join(found)}))" if len(found) > 1 else found[0])
 
 
@@ -177,25 +179,25 @@ def context_of(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, first + 1, end + P.CONTEXT_CHARS - first)
 
 
-def infer_field(text: Column, context: Column, start: Column, type_: Column) -> Column:
-    """Field name of a span: the first ``k=`` in its context, else ``"k":"``, else its place in an
-    access log line, else its type in lower case."""
+def infer_field(access: Column, context: Column, start: Column, type_: Column) -> Column:
+    """Field name of a span: the first ``k=`` in its context, else ``"k":"``, else, in an access log line,
+    its place, else its type in lower case."""
     kv = F.nullif(F.regexp_extract(context, P.KV_KEY, 1), F.lit(""))
     json = F.nullif(F.regexp_extract(context, P.JSON_KEY, 1), F.lit(""))
     positional = F.when(
-        text.rlike(P.LEADING_IP),
+        access,
         F.when(start < P.POSITIONAL_START, "clientip")
         .when(context.contains("[") & context.contains("]"), "timestamp")
         .when(context.contains('"'), "request"))
     return F.coalesce(kv, json, positional, F.lower(type_))
 
 
-def nearest_field(text: Column, context: Column, start: Column, type_: Column) -> Column:
+def nearest_field(access: Column, context: Column, start: Column, type_: Column) -> Column:
     """Like :func:`infer_field`, with the last ``k=`` in front of the span instead of the first."""
     before = F.substring(context, F.lit(1), F.least(start, F.lit(P.CONTEXT_CHARS)))
     nearest = F.nullif(
         F.regexp_extract(before, r"^[\s\S]*?(?:[\s\S]*[^\p{L}\p{N}_])?" + P.KV_KEY, 1), F.lit(""))
-    return F.coalesce(nearest, infer_field(text, context, start, type_))
+    return F.coalesce(nearest, infer_field(access, context, start, type_))
 
 
 def value_pattern(type_: Column) -> Column:

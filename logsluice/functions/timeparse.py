@@ -51,9 +51,37 @@ def parse_time(
         return ingest
     cut, java = JAVA_TIME_FORMATS[fmt]
     text = F.regexp_extract(after_prefix(raw, prefix, lookahead), cut, 0)
+    if java is None:
+        return iso_time(text)
+    text = F.regexp_replace(text, r"\s+", " ")
     if "yyyy" in java:
         return F.try_to_timestamp(text, F.lit(java))
-    return with_year(F.regexp_replace(text, r"\s+", " "), java, ingest)
+    return with_year(text, java, ingest)
+
+
+def iso_time(text: Column) -> Column:
+    """A date and time with an optional fraction and zone; without a zone it is UTC's, the session's."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"\s+(?=[+Z-])", ""), ",", ".")
+    return F.regexp_replace(plain, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
+
+
+def time_prefix(before: Column, fmt: Column, sep: str = ",") -> Column:
+    """A pattern for what leads to the time, from the text in front of it.
+
+    The JSON key, the pair's name or the XML tag if one leads to the time, the number of separators in a
+    CSV line; '' if none does, and then the whole line is searched.
+    """
+    key = F.regexp_extract(before, r'"([\w.@-]+)"\s*:\s*"?$', 1)
+    name = F.regexp_extract(before, r'([\w.@-]+)="?$', 1)
+    tag = F.regexp_extract(before, r"<([\w.-]+)>$", 1)
+    columns = F.size(F.split(F.regexp_replace(before, r'"(?:[^"]|"")*"', ""), sep)) - 1
+    return (
+        F.when((fmt == "json") & (key != ""), F.concat(F.lit('"'), key, F.lit(r'"\s*:\s*"?')))
+        .when((fmt == "xml") & (tag != ""), F.concat(F.lit("<"), tag, F.lit(">")))
+        .when(fmt == "csv", F.when(columns > 0, F.concat(
+            F.lit(rf'^(?:(?:"(?:[^"]|"")*"|[^{sep}"])*{sep}){{'), columns.cast("string"), F.lit("}"))).otherwise("^"))
+        .when(name != "", F.concat(F.lit(r"\b"), name, F.lit('="?')))
+        .otherwise(""))
 
 
 def with_year(text: Column, java: str, ingest: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -52,7 +53,7 @@ def _syslog_pairs(raw: Column) -> Column:
         pairs, X.kv_dialects(F.coalesce(X.pair_value(pairs, "message"), F.lit("")))))
 
 
-def _json_text_pairs(raw: Column) -> Column:
+def json_text_pairs(raw: Column) -> Column:
     return F.transform(X.json_pairs(raw), lambda p: F.struct(
         p["name"].alias("name"), X.variant_text(p["value"]).alias("value")))
 
@@ -75,7 +76,7 @@ def extract_auto(
     line = F.col(raw)
     csv = _csv_pairs(line, header, sep) if header else F.array().cast(_PAIRS)
     pairs = (
-        F.when(F.col("fmt") == "json", _json_text_pairs(line))
+        F.when(F.col("fmt") == "json", json_text_pairs(line))
         .when(F.col("fmt") == "csv", csv)
         .when(F.col("fmt") == "apache", _apache_pairs(line))
         .when(F.col("fmt") == "syslog", _syslog_pairs(line))
@@ -118,36 +119,64 @@ def json_field_records(df: DataFrame, keys: Sequence[str], raw: str) -> DataFram
 
 
 def flatten_json(df: DataFrame, keys: Sequence[str], raw: str, schema: str) -> DataFrame:
-    """Struct leaves of nested JSON as dotted columns; arrays of scalars are exploded.
+    """Struct leaves of nested JSON as dotted columns, also those of objects inside arrays.
 
-    The schema comes from a profile or the user, so a line is parsed once and only for its leaves.
+    Arrays of a line are laid side by side: a line has as many rows as its longest array has elements, at
+    least one, and shorter arrays are NULL behind their end. An array inside an array stays JSON text. The
+    schema comes from a profile or the user, so a line is parsed once and only for its leaves.
     """
+    if not schema.upper().startswith("STRUCT<") and ":" not in schema and " " not in schema.strip():
+        return df.select(*keys)
     parsed = df.select(*keys, F.from_json(raw, schema).alias("_j"))
-    leaves: list[tuple[str, str]] = []
-    arrays: list[tuple[str, str]] = []
-
-    def walk(struct: T.StructType, path: str, name: str) -> None:
-        for f in struct.fields:
-            here, dotted = f"{path}.`{f.name}`", f"{name}.{f.name}" if name else f.name
-            if isinstance(f.dataType, T.StructType):
-                walk(f.dataType, here, dotted)
-            elif isinstance(f.dataType, T.ArrayType):
-                arrays.append((here, dotted))
-            else:
-                leaves.append((here, dotted))
-
-    walk(parsed.schema["_j"].dataType, "_j", "")
-    flat = parsed.select(
-        *keys, *[F.col(p).alias(n) for p, n in leaves], *[F.col(p).alias(n) for p, n in arrays])
-    for _, n in arrays:
-        flat = flat.withColumn(n, F.explode_outer(F.col(f"`{n}`")))
-    return flat
+    leaves: list[tuple[Column, str]] = []
+    arrays: list[tuple[Column, str, T.DataType]] = []
+
+    def walk(kind: T.DataType, here: Column, name: str, inside: bool) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                walk(f.dataType, here.getField(f.name), f"{name}.{f.name}" if name else f.name, inside)
+        elif isinstance(kind, T.ArrayType) and not inside:
+            arrays.append((here, name, kind.elementType))
+        else:
+            leaves.append((F.to_json(here) if isinstance(kind, T.ArrayType) else here, name))
+
+    walk(parsed.schema["_j"].dataType, F.col("_j"), "", False)
+    if arrays:
+        none = F.array(F.lit(None))
+        side = F.arrays_zip(*[
+            F.when(F.size(a) > 0, a).otherwise(none.cast(T.ArrayType(kind))).alias(f"a{i}")
+            for i, (a, _, kind) in enumerate(arrays)])
+        parsed = parsed.select(*keys, "_j", F.explode_outer(side).alias("_e"))
+        for i, (_, name, kind) in enumerate(arrays):
+            walk(kind, F.col(f"_e.a{i}"), name, True)
+    return parsed.select(*keys, *[c.alias(n) for c, n in leaves])
+
+
+# In a schema's text a name stands in front of a colon, or in backticks; other words are types.
+_SCHEMA_WORD = re.compile(r"`(?:[^`]|``)*`|\w+(?=\s*:)|\bOBJECT(?=<)|\bVOID\b")
+_SCHEMA_TYPES = {"OBJECT": "STRUCT", "VOID": "STRING"}
+MAX_JSON_KEYS = 10_000
+
+
+def nested_json_schema(df: DataFrame, raw: str, max_keys: int = MAX_JSON_KEYS) -> str:
+    """One schema that covers every line: the schemas of the lines merge in a map-side aggregate.
+
+    Without any JSON object it is empty. More than ``max_keys`` different top-level keys are data, not a
+    schema, and raise before anything is merged.
+    """
+    keys = df.select(F.explode(F.json_object_keys(raw)).alias("k")).distinct().limit(max_keys + 1).count()
+    if keys > max_keys:
+        raise ValueError("more JSON keys than a schema can hold; read the lines as maps")
+    if not keys:
+        return "STRUCT<>"
+    objects = F.when(F.json_object_keys(raw).isNotNull(), F.try_parse_json(raw))
+    merged = df.select(F.schema_of_variant_agg(objects).alias("s")).first()["s"]
 
+    def typed(word: re.Match) -> str:
+        following = merged[word.end():].lstrip()[:1]
+        return word[0] if following == ":" or word[0].startswith("`") else _SCHEMA_TYPES[word[0]]
 
-def nested_json_schema(df: DataFrame, raw: str) -> str:
-    """One schema that covers every line: the schemas of the lines merge in a map-side aggregate."""
-    merged = df.select(F.schema_of_variant_agg(F.try_parse_json(raw)).alias("s")).first()["s"]
-    return merged.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    return _SCHEMA_WORD.sub(typed, merged)
 
 
 # --- Existing fields ----------------------------------------------------------------------------
@@ -155,16 +184,14 @@ def nested_json_schema(df: DataFrame, raw: str) -> str:
 def existing_fields(df: DataFrame, by: str, order: str) -> DataFrame:
     """Fields a table already has, with a sample value from the first row of each group.
 
-    Internal columns are left out; empty, zero and missing values show as N/A. The place of the first
-    row is found over two columns; only the few rows at these places are then read whole.
+    Internal columns are left out; empty, zero and missing values show as N/A. One aggregate that combines
+    on the map side keeps the first row of each group.
     """
     columns = existing_columns(
         [c for c in df.columns if c != by], P.SYSTEM_FIELD_PREFIXES, P.SYSTEM_FIELDS)
-    places = df.groupBy(by).agg(F.min(order).alias("_first"))
-    at_place = df.join(places.withColumnRenamed(by, "_by"), (
-        F.col(by).eqNullSafe(F.col("_by"))) & (F.col(order) == F.col("_first")))
     row = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
-    first = at_place.groupBy(by).agg(F.min(row).alias("r"))
+    place = F.when(F.col(order).isNotNull(), F.struct(F.col(order).alias("at"), row.alias("row")))
+    first = df.groupBy(by).agg(F.min(place)["row"].alias("r"))
     falsy = lambda v: v.isNull() | v.isin("", "0", "0.0", "false")
     pairs = F.array(*[
         F.struct(F.lit(c).alias("name"),

@@ -30,6 +30,43 @@ def detect_format(raw: Column, has_header: Column | None = None) -> Column:
         .otherwise("kv"))
 
 
+CSV_SHARE = 0.9
+
+
+def unquoted_separators(raw: Column, sep: str = ",") -> Column:
+    """Separators of a line outside of quotes."""
+    return F.size(F.split(F.regexp_replace(raw, r'"(?:[^"]|"")*"', ""), sep)) - 1
+
+
+def format_without_csv(raw: Column) -> Column:
+    """Like :func:`detect_format`, with the variant of syslog, for lines of which CSV is not known yet.
+
+    What has a shape of its own is that, whatever commas it holds; the rest is ``kv``.
+    """
+    return (
+        F.when(F.ltrim(raw).startswith("<") & raw.rlike(P.SYSLOG_5424), "syslog_5424")
+        .when(F.ltrim(raw).startswith("<") & raw.rlike(P.SYSLOG_3164), "syslog_3164")
+        .when(F.ltrim(raw).startswith("<") & raw.rlike(_XML_ANY), "xml")
+        .when(raw.rlike(P.SYSLOG_STANDARD), "syslog")
+        .when(_is_json_object(raw), "json")
+        .when(raw.rlike(P.APACHE_SHAPE), "apache")
+        .otherwise("kv"))
+
+
+def csv_sourcetypes(df: DataFrame, raw: str = "raw", by: str = "sourcetype", sep: str = ",") -> DataFrame:
+    """Sourcetypes whose lines are CSV: of those without a shape of their own nearly all have the same number
+    of separators, at least one, and fewer than half hold pairs."""
+    line = F.col(raw)
+    plain = df.filter(format_without_csv(line) == "kv").select(
+        by, unquoted_separators(line, sep).alias("seps"), line.rlike(P.KV_PAIR).cast("int").alias("pairs"))
+    counts = plain.groupBy(by, "seps").agg(F.count("*").alias("n"), F.sum("pairs").alias("pairs"))
+    return counts.groupBy(by).agg(
+        F.max_by("seps", "n").alias("seps"), F.max("n").alias("most"), F.sum("n").alias("lines"),
+        F.sum("pairs").alias("pairs")).filter(
+        (F.col("seps") > 0) & (F.col("most") >= CSV_SHARE * F.col("lines")) & (2 * F.col("pairs") < F.col("lines"))
+    ).select(by, "seps", "lines")
+
+
 def detect_line_format(raw: Column, fields: int = 2, has_existing: bool = False) -> Column:
     """apache_access, json_log, csv_log, kv_log, custom_log or sample_log, as the last step decides.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logsluice.functions import patterns as P
 from logsluice.functions import spans as S
-from logsluice.functions.rows import each
+from logsluice.functions.rows import bind, cut_blocks, each, text_blocks
 from logsluice.functions.spans import Detector
 from logsluice.operators.detectors import canonical_type
 
@@ -35,15 +35,22 @@ def span_details(
     nearest: bool = False,
 ) -> DataFrame:
     """Span rows with the inferred field and the redaction pattern, as a scan reports them."""
-    # One row per span keeps the document next to it: field inference looks at the surroundings.
+    # The surroundings are cut inside the row, so no span carries its whole document.
     found = with_spans(df.select(*keys, text), text, detectors)
-    rows = each(found, [*keys, F.col(text).alias("_doc")], "spans")
-    begin, end, type_ = F.col("s.start"), F.col("s.end"), F.col("s.type")
-    near = rows.withColumn("_context", S.context_of(F.col("_doc"), begin, end))
+    blocks = F.when(F.size("spans") > 0, text_blocks(F.col(text)))
+
+    def near(parts: Column) -> Column:
+        return F.transform("spans", lambda s: F.struct(
+            s.alias("s"), cut_blocks(
+                parts, F.greatest(s["start"] - P.CONTEXT_CHARS, F.lit(0)),
+                F.least(s["end"] + P.CONTEXT_CHARS, F.length(text))).alias("context")))
+
+    rows = each(found, [*keys, F.col(text).rlike(P.LEADING_IP).alias("_access")], bind(blocks, near), "p")
+    begin, type_ = F.col("p.s.start"), F.col("p.s.type")
     infer = S.nearest_field if nearest else S.infer_field
-    return near.select(
-        *keys, "s.*", infer(F.col("_doc"), F.col("_context"), begin, type_).alias("field"),
-        S.redaction_pattern(type_, F.col("s.text")).alias("regex_pattern"))
+    return rows.select(
+        *keys, "p.s.*", infer(F.col("_access"), F.col("p.context"), begin, type_).alias("field"),
+        S.redaction_pattern(type_, F.col("p.s.text")).alias("regex_pattern"))
 
 
 def type_counts(df: DataFrame, text: str, detectors: Sequence[Detector]) -> DataFrame:
@@ -138,11 +145,13 @@ def top_values(spans: DataFrame, k: int, keys: Sequence[str] = ("canonical",)) -
 def impact(spans: DataFrame, doc: str, by: Sequence[str] = ("canonical",), rollup: bool = False) -> DataFrame:
     """What redaction would touch: spans, fields, events, by the given columns.
 
-    Distinct counts go through (group, field, event) first; Spark expands and pre-aggregates them.
+    Spans are counted per (group, field, event) first, so what the distinct counts of the levels expand is
+    these few rows and not the spans.
     """
-    group = spans.rollup if rollup else spans.groupBy
+    seen = spans.groupBy(*by, "field", doc).agg(F.count("*").alias("_n"))
+    group = seen.rollup if rollup else seen.groupBy
     measures = [
-        F.count("*").alias("instances"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("instances"),
         F.count_distinct("field").alias("fields"),
         F.count_distinct(doc).alias("events")]
     if rollup:
@@ -159,14 +168,13 @@ def type_matrix(spans: DataFrame, rows: str, types: Sequence[str]) -> DataFrame:
 def common_types(spans: DataFrame, group: str) -> DataFrame:
     """Types that occur in every group that has any span.
 
-    The grand total of the rollup is the number of groups. The final list has one entry per type,
-    of which there are as many as detectors.
+    The grand total of the rollup is the number of groups; the types that have it are joined to that one row.
     """
     pairs = spans.select(group, "canonical").distinct()
-    counts = pairs.rollup("canonical").agg(F.count_distinct(group).alias("groups"))
-    known = F.when(F.col("canonical").isNotNull(), F.struct("canonical", "groups"))
-    whole = counts.agg(F.collect_list(known).alias("types"), F.max("groups").alias("all_groups"))
-    return whole.select(F.inline(F.filter("types", lambda t: t["groups"] == F.col("all_groups"))))
+    counts = pairs.rollup("canonical").agg(F.count_distinct(group).alias("groups"), F.grouping("canonical").alias("total"))
+    total = counts.filter("total = 1").select(F.col("groups").alias("all_groups"))
+    return counts.filter("total = 0").join(total, F.col("groups") == F.col("all_groups"), "left_semi").select(
+        "canonical", "groups")
 
 
 # --- Joins --------------------------------------------------------------------------------------
@@ -208,10 +216,51 @@ def known_values(tokens: DataFrame, dictionary: DataFrame, token: str = "token")
     return tokens.join(dictionary.select(token).distinct(), token, "left_semi")
 
 
-def tokens(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """Words of a text with their number of occurrences per document."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_@.-]+"), lambda w: w != "")
-    return each(df, keys, words, "token")
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_@.-]+"), lambda w: w != "")
+
+
+def _counted(values: Column) -> Column:
+    """Distinct values of an array with their number, from runs of the sorted array."""
+    def runs(every: Column) -> Column:
+        def counts(starts: Column) -> Column:
+            return F.transform(starts, lambda at, i: F.struct(
+                F.get(every, at).alias("token"),
+                (F.coalesce(F.get(starts, i + 1), F.size(every)) - at).cast("bigint").alias("n")))
+
+        places = F.filter(
+            F.sequence(F.lit(0), F.size(every) - 1), lambda i: (i == 0) | (F.get(every, i) != F.get(every, i - 1)))
+        return F.when(F.size(every) > 0, bind(places, counts))
+
+    return bind(F.array_sort(values), runs)
+
+
+def tokens(df: DataFrame, keys: Sequence[str], text: str, sizes: Sequence[int] = (1,)) -> DataFrame:
+    """Distinct runs of one to several words per document and how often each occurs: ``(keys, token, n)``.
+
+    They are counted inside the document's row, so a common word is one row per document.
+    """
+    def grams(words: Column) -> Column:
+        return F.concat(*[
+            words if size == 1 else F.when(F.size(words) >= size, F.transform(
+                F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
+            ).otherwise(F.array().cast("array<string>"))
+            for size in sizes])
+
+    return each(df, keys, _counted(bind(_words(text), grams)), "t").select(*keys, "t.*")
+
+
+def dictionary_hits(
+    df: DataFrame, keys: Sequence[str], text: str, dictionary: DataFrame, token: str = "token",
+) -> DataFrame:
+    """Words and phrases of a user's list that occur in a text, with their number per document.
+
+    Phrases are compared as runs of words: each length that the list has gives one set of runs, joined on
+    equality. The lengths are few and come to the driver.
+    """
+    known = dictionary.select(F.array_join(_words(token), " ").alias("token")).filter(F.col("token") != "").distinct()
+    sizes = sorted(r["n"] for r in known.select(F.size(F.split("token", " ")).alias("n")).distinct().collect())
+    return known_values(tokens(df, keys, text, sizes or [1]), known)
 
 
 def evaluate(found: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from logsluice.functions import spans as S
 from logsluice.functions.regexlang import escape_literal, escape_replacement, split_named_groups
 from logsluice.functions.spans import Detector
 from logsluice.operators.detectors import (
-    CANONICAL_TYPES, canonical_type, value_pattern_key,
+    CANONICAL_TYPES, DETECTORS, canonical_type, value_pattern_key,
 )
 from logsluice.operators.pii import type_counts
 
@@ -37,18 +37,48 @@ def redact_spans(
     ).drop("_spans", "_islands")
 
 
+LEAD = "(?<lead>"
+
+
+def replacement(rule: Sequence[str]) -> str:
+    """The replacement text of a rule; a pattern with a lead group keeps what leads to the value."""
+    kept = "${lead}" if LEAD in rule[0] else ""
+    return kept + escape_replacement(rule[1])
+
+
 def redact_patterns(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
     """Replace all matches of each ``(pattern, label)`` in order, over the whole event.
 
     The patterns are literals, so each is compiled once per task.
     """
-    return reduce(
-        lambda acc, rule: F.regexp_replace(acc, rule[0], escape_replacement(rule[1])), rules, text)
+    return reduce(lambda acc, rule: F.regexp_replace(acc, rule[0], replacement(rule)), rules, text)
 
 
 def detector_rules(names: Sequence[str]) -> list[tuple[str, str]]:
-    """Pattern rules of detectors that have a redaction pattern."""
-    return [(P.REDACTION_PATTERNS[n], label_for(CANONICAL_TYPES[n])) for n in names]
+    """Pattern rules of detectors: their redaction pattern, else the pattern they search with.
+
+    A detector that finds a value in its context keeps the context. Detectors that run as joins have no rule.
+    """
+    return [detector_rule(n) for n in names if n in DETECTORS]
+
+
+def detector_rule(name: str) -> tuple[str, str]:
+    detector = DETECTORS[name]
+    pattern = P.REDACTION_PATTERNS.get(name, detector.pattern)
+    if detector.in_context:
+        pattern = re.sub(r"\((?!\?)", LEAD, pattern, count=1)
+    return pattern, label_for(CANONICAL_TYPES[name])
+
+
+# How a line shows a field: a test of line and name, and the frame around value and label that stays. ``{n}`` is the
+# escaped name, ``{v}`` the value's pattern, ``{f}`` the name, ``{l}`` the label.
+_FRAMES = (
+    (lambda line, f: line.strip().startswith("{") and f'"{f}"' in line, r'"{n}"\s*:\s*"({v})"', '"{f}":"{l}"'),
+    (lambda line, f: f"{f}=" in line, "{n}=({v})", "{f}={l}"),
+    (lambda line, f: f == "clientip" and re.match(P.APACHE_SHAPE, line), "^({v})", "{l}"),
+    (lambda line, f: f == "timestamp" and re.match(P.APACHE_SHAPE, line), r"\[({v})\]", "[{l}]"),
+    (lambda line, f: f == "request" and re.match(P.APACHE_SHAPE, line), '"({v})"', '"{l}"'),
+)
 
 
 def field_rule(field: str | None, type_: str | None, sample: str) -> tuple[str, str]:
@@ -61,19 +91,14 @@ def field_rule(field: str | None, type_: str | None, sample: str) -> tuple[str,
     if not field or not sample:
         return r"[^\s]+", label
     value = P.VALUE_PATTERNS_OF_FIELDS.get(type_ or "", P.DEFAULT_VALUE_PATTERN)
-    name = escape_literal(field)
-    if sample.strip().startswith("{") and f'"{field}"' in sample:
-        return rf'"{name}"\s*:\s*"({value})"', f'"{field}":"{label}"'
-    if f"{field}=" in sample:
-        return f"{name}=({value})", f"{field}={label}"
-    if re.match(P.APACHE_SHAPE, sample):
-        framed = {
-            "clientip": (f"^({value})", label),
-            "timestamp": (rf"\[({value})\]", f"[{label}]"),
-            "request": (f'"({value})"', f'"{label}"'),
-        }
-        if field in framed:
-            return framed[field]
+    parts = {"{n}": escape_literal(field), "{v}": value, "{f}": field, "{l}": label}
+
+    def filled(frame: str) -> str:
+        return re.sub(r"\{[nvfl]\}", lambda m: parts[m[0]], frame)
+
+    for shows, pattern, shown in _FRAMES:
+        if shows(sample, field):
+            return filled(pattern), filled(shown)
     return value, label
 
 
@@ -106,15 +131,27 @@ def redact_map_fields(fields: Column, rules: Iterable[tuple[str, str, str]]) ->
 
 
 def redact_in_context(
-    df: DataFrame, text: str, detectors: Sequence[Detector], out: str = "redacted",
+    df: DataFrame, text: str, detectors: Sequence[Detector], out: str = "redacted", fallback: bool = True,
 ) -> DataFrame:
-    """Redact by the rule that the surroundings of each span suggest (pair, JSON key, position)."""
+    """Redact by the rule that the surroundings of each span suggest (pair, JSON key, position).
+
+    A rule may miss the span it was made for, as the value it expects has another form. With ``fallback``
+    a span whose text the rules leave behind is then replaced by itself.
+    """
     found = df.withColumn("_spans", S.detect_all(text, detectors))
-    rules = found.withColumn("_rules", F.array_distinct(F.transform(
+    ruled = found.withColumn("_rules", F.array_distinct(F.transform(
         "_spans", lambda s: S.context_rule(
             F.col(text), s["start"], s["end"],
             value_pattern_key(canonical_type(s["type"])), s["text"]))))
-    return rules.withColumn(out, S.apply_rules(F.col(text), F.col("_rules"))).drop("_spans", "_rules")
+    done = ruled.withColumn(out, S.apply_rules(F.col(text), F.col("_rules")))
+    if fallback:
+        left = F.array_distinct(F.transform(
+            F.filter("_spans", lambda s: F.col(out).contains(s["text"])),
+            lambda s: F.struct(S.escaped(s["text"]).alias("pattern"), S.redaction_label(
+                canonical_type(s["type"])).alias("replacement"))))
+        done = done.withColumn("_rules", left).withColumn(out, F.when(
+            F.size("_rules") > 0, S.apply_rules(F.col(out), F.col("_rules"))).otherwise(F.col(out)))
+    return done.drop("_spans", "_rules")
 
 
 def residual(df: DataFrame, text: str, detectors: Sequence[Detector]) -> DataFrame:

@@ -83,6 +83,28 @@ def ext_json_profiled(spark, folder):
         rendered, ["event_id"], "raw", fields.nested_json_schema(rendered, "raw"))
 
 
+@query("ext_json_arrays", f"""
+SELECT event_id, k AS "AVOID", [event_type, 't'||(k%3), NULL][i] AS tags, [user_id, k, 7][i] AS nums,
+  ['a', host, NULL][i] AS "items.name", [1, k, NULL][i] AS "items.size.n"
+FROM ({EV}), (SELECT unnest([1, 2, 3]) AS i)""")
+def ext_json_arrays(spark, folder):
+    """Two arrays and an array of objects side by side, and a key that looks like a type."""
+    line = R.text(
+        '{"AVOID":', F.col("k"), ',"tags":["', F.col("event_type"), '","t', F.col("k") % 3, '"],"nums":[', F.col("user_id"),
+        ",", F.col("k"), ',7],"items":[{"name":"a","size":{"n":1}},{"name":"', F.col("host"), '","size":{"n":', F.col("k"),
+        "}}]}")
+    rendered = _lines(spark, folder, line)
+    return fields.flatten_json(rendered, ["event_id"], "raw", fields.nested_json_schema(rendered, "raw"))
+
+
+@query("ext_preview_all", f"SELECT event_id, login||'|'||val||'|'||event_type AS found FROM ({EV})")
+def ext_preview_all(spark, folder):
+    """All matches of a field pattern in a line; empty ones are left out."""
+    line = R.text("a=", F.col("login"), " b=", F.col("val"), " c= d=", F.col("event_type"))
+    return _lines(spark, folder, line).select(
+        "event_id", F.array_join(X.preview_values(F.col("raw"), r"[a-z]=(?P<value>[^\s]*)", "value"), "|").alias("found"))
+
+
 @query("ext_csv", f"""
 SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, event_type AS kind,
   'said "'||login||'", then left' AS note, val, NULL::VARCHAR AS empty FROM ({EV})""")
@@ -328,7 +350,7 @@ _KV_FIELDS = [Field("value"), Field("client_ip", "ip"), Field("user"), Field("ev
 SELECT event_id, {_ISO} AS timestamp, login AS user, ip AS client_ip, event_type AS event, val AS value FROM ({EV})""")
 def ext_built_kv(spark, folder):
     rendered = _lines(spark, folder, R.kv_line())
-    sample = rendered.orderBy("event_id").limit(1)
+    sample = rendered.limit(1)
     ordered = rules.fields_in_line_order(sample, _KV_FIELDS)
     return _apply_pattern(rendered, rules.kv_pattern(ordered, rules.timestamp_pattern(sample)))
 
@@ -362,5 +384,5 @@ def ext_selected(spark, folder):
     wanted = [
         Field("value", regex=r"value=(?<value>\d+\.\d+)"), Field("user", regex=r"(?<user>user\d+)"),
         Field("client_ip", regex=r"(?P<client_ip>10(?:\.\d+){3})")]
-    sample = rendered.orderBy("event_id").limit(1)
+    sample = rendered.limit(1)
     return _apply_pattern(rendered, rules.selected_pattern(sample, wanted, ["client_ip", "value"]))

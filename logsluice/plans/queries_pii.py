@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logsluice.functions import patterns as P
 from logsluice.functions import spans as S
 from logsluice.functions.rows import each
-from logsluice.operators import pii
+from logsluice.operators import pii, redaction
 from logsluice.operators.detectors import (
     DETECTORS, canonical_type, custom_detectors, select_detectors,
 )
 from logsluice.plans import oracle_text as O
 from logsluice.plans.registry import query
 from logsluice.sources.rendered import customer_contacts, customer_notes
-from logsluice.sources.tables import spread_table, table
+from logsluice.sources.tables import table
 
 IP, EMAIL, CARD, CREDENTIAL = (
     "IpAddressDetector", "EmailDetector", "CreditCardDetector", "CredentialDetector")
@@ -34,7 +34,7 @@ def _detectors(names):
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread_table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    return table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
 
 
 def _document_spans(spark: SparkSession, folder: str, keys=("doc_id",)) -> DataFrame:
@@ -64,7 +64,7 @@ def _register_span_query(key: str, detector: str, name: str, id_: str, column: s
     @query(key, sql)
     def run(spark, folder):
         return _positions(
-            pii.span_table(spread_table(spark, folder, name), [id_], column, _detectors([detector])), id_)
+            pii.span_table(table(spark, folder, name), [id_], column, _detectors([detector])), id_)
 
 
 for _key, _detector, _table, _id, _column in [
@@ -151,7 +151,7 @@ _SHIPPED = [n for n in P.SHIPPED_DETECTORS.split("|")]
     f"lambda m: length(trim(m)) >= 3))), 0) AS BIGINT) AS items FROM conversations" for n in _SHIPPED))
 def pii_detectors_selected(spark, folder):
     chosen = select_detectors(P.SHIPPED_DETECTORS + "|NoSuchDetector", P.DEFAULT_DETECTORS)
-    return pii.type_counts(spread_table(spark, folder, "conversations"), "text", chosen)
+    return pii.type_counts(table(spark, folder, "conversations"), "text", chosen)
 
 
 @query("pii_allowlist", f"""
@@ -406,10 +406,46 @@ FROM t WHERE token IN (SELECT token FROM d) GROUP BY token""")
 def pii_dictionary(spark, folder):
     known = table(spark, folder, "benchmark").select(
         F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("token"))
-    # Words repeat a lot: count them per document before they are shuffled.
-    words = pii.tokens(_documents(spark, folder), ["doc_id"], "text")
-    per_doc = pii.known_values(words, known).groupBy("token", "doc_id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("token").agg(F.sum("n").alias("items"), F.count("*").alias("docs"))
+    return _per_token(pii.dictionary_hits(_documents(spark, folder), ["doc_id"], "text", known))
+
+
+def _per_token(hits):
+    return hits.groupBy("token").agg(F.sum("n").alias("items"), F.count("*").alias("docs"))
+
+
+_PHRASE_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_@.-]+'), lambda w: w <> '')"
+
+
+@query("pii_phrases", f"""
+WITH b AS (SELECT {_PHRASE_WORDS} AS w FROM benchmark),
+d AS (SELECT DISTINCT unnest(w) AS token FROM b UNION SELECT array_to_string(w[1:3], ' ') FROM b WHERE len(w) >= 3),
+t AS (SELECT doc_id, {_PHRASE_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, unnest(w) AS token FROM t UNION ALL
+  SELECT doc_id, array_to_string(w[i:i+2], ' ') FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t))
+SELECT token, count(*) AS items, count(DISTINCT doc_id) AS docs FROM g WHERE token IN (SELECT token FROM d) GROUP BY token""")
+def pii_phrases(spark, folder):
+    """A list of all words of the benchmark and of the phrases its items begin with."""
+    words = pii._words("text")
+    items = table(spark, folder, "benchmark")
+    phrases = F.when(F.size(words) >= 3, F.array(F.array_join(F.slice(words, 1, 3), " "))).otherwise(
+        F.array().cast("array<string>"))
+    known = items.select(F.explode(F.concat(words, phrases)).alias("token"))
+    return _per_token(pii.dictionary_hits(_documents(spark, folder), ["doc_id"], "text", known))
+
+
+_EMPTY_PATTERNS = [r"\d{4}|(?=z)", r"(?<=\s)|@\w+", r"\b|\d+\.\d+"]
+
+
+@query("pii_spans_empty_matches", "SELECT doc_id, true AS placed, true AS replaced FROM documents")
+def pii_spans_empty_matches(spark, folder):
+    """Patterns that also match empty text: every span is where it says, and nothing of it is left."""
+    chosen = [S.Detector(f"P{i}", p) for i, p in enumerate(_EMPTY_PATTERNS)]
+    found = redaction.redact_spans(
+        pii.with_spans(_documents(spark, folder).select("doc_id", "text"), "text", chosen), "text", chosen)
+    placed = F.forall("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]) == s["text"])
+    kept = F.length(F.regexp_replace("redacted", r"\[REDACTED_P\d\]", ""))
+    islands = F.aggregate(S.merge_overlaps(F.col("spans")), F.lit(0), lambda n, i: n + i["end"] - i["start"])
+    return found.select("doc_id", placed.alias("placed"), (kept == F.length("text") - islands).alias("replaced"))
 
 
 _NARROW = r"\b[a-z]+\.\d{2}@mail\d\.example\.com\b"

@@ -10,8 +10,8 @@ from logsluice.operators.detectors import DETECTORS
 from logsluice.plans import oracle_text as O
 from logsluice.plans.queries_pii import CONTACT_SET, DOCUMENT_SET, EMAIL, IP, CARD, PHONE, SSN
 from logsluice.plans.registry import query
-from logsluice.sources.rendered import customer_contacts
-from logsluice.sources.tables import spread_table, table
+from logsluice.sources.rendered import customer_contacts, customer_notes
+from logsluice.sources.tables import table
 
 _PATTERN_SET = [IP, EMAIL, CARD]
 CUSTOM = [("hex token", r"[0-9a-f]{32,}"), ("mail $ host", r"@mail(?<n>\d)\.example"), ("", "  ")]
@@ -38,7 +38,7 @@ SELECT d.doc_id, coalesce(r.redacted, d.text) AS redacted FROM documents d LEFT
 
 @query("redact_spans", _REBUILT)
 def redact_spans(spark, folder):
-    docs = spread_table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return redaction.redact_spans(
         docs, "text", [DETECTORS[IP], DETECTORS[EMAIL]]).select("doc_id", "redacted")
 
@@ -59,7 +59,7 @@ def redact_spans_contacts(spark, folder):
 
 @query("redact_patterns", f"SELECT doc_id, {_sql_patterns('text')} AS redacted FROM documents")
 def redact_patterns(spark, folder):
-    return spread_table(spark, folder, "documents").select("doc_id", redaction.redact_patterns(
+    return table(spark, folder, "documents").select("doc_id", redaction.redact_patterns(
         F.col("text"), redaction.detector_rules(_PATTERN_SET)).alias("redacted"))
 
 
@@ -96,7 +96,7 @@ SELECT doc_id, {_chain('text', [(r'[0-9a-f]{32,}', '[REDACTED_HEX_TOKEN]'),
                                 (r'@mail(\d)\.example', '[REDACTED_MAIL_$_HOST]')])} AS redacted
 FROM documents""")
 def redact_custom(spark, folder):
-    return spread_table(spark, folder, "documents").select("doc_id", redaction.redact_patterns(
+    return table(spark, folder, "documents").select("doc_id", redaction.redact_patterns(
         F.col("text"), redaction.custom_rules(CUSTOM)).alias("redacted"))
 
 
@@ -143,7 +143,34 @@ def redact_context(spark, folder):
     lines = customer_contacts(spark, folder).select("c_custkey", "raw")
     names = [EMAIL, PHONE, SSN]
     return redaction.redact_in_context(
-        lines, "raw", [DETECTORS[n] for n in names]).select("c_custkey", "redacted")
+        lines, "raw", [DETECTORS[n] for n in names], fallback=False).select("c_custkey", "redacted")
+
+
+@query("redact_context_whole", "SELECT c_custkey, false AS leaks FROM customer")
+def redact_context_whole(spark, folder):
+    """With the fallback nothing that was found is left in the line."""
+    lines = customer_contacts(spark, folder)
+    done = redaction.redact_in_context(lines, "raw", [DETECTORS[n] for n in (EMAIL, PHONE, SSN)])
+    values = [F.col("redacted").contains(F.col(c)) for c in ("email", "phone", "ssn")]
+    return done.select("c_custkey", (values[0] | values[1] | values[2]).alias("leaks"))
+
+
+_NOTE_TYPES = {
+    "DateOfBirthDetector": "BIRTHDATE", "DriversLicenceDetector": "DRIVER_LICENSE", "PostalCodeDetector": "LOCATION",
+    "en_GB.NationalInsuranceNumberDetector": "NATIONAL_ID", "en_GB.TaxReferenceNumberDetector": "TAX_ID",
+    "VehicleLicencePlateDetector": "LICENSE_PLATE", "TwitterDetector": "USERNAME", "SkypeDetector": "USERNAME",
+    "CredentialDetector": "PASSWORD"}
+
+
+@query("redact_rules_of_all_detectors", """
+SELECT c_custkey, c_name||' born [REDACTED_BIRTHDATE], licence [REDACTED_DRIVER_LICENSE], code [REDACTED_LOCATION], number '
+  ||'[REDACTED_NATIONAL_ID], ref [REDACTED_TAX_ID], plate [REDACTED_LICENSE_PLATE], by [REDACTED_USERNAME] skype: '
+  ||'[REDACTED_USERNAME] password=[REDACTED_PASSWORD]' AS redacted FROM customer""")
+def redact_rules_of_all_detectors(spark, folder):
+    """Pattern rules of the detectors without a redaction pattern of their own; context stays."""
+    rules = redaction.detector_rules(list(_NOTE_TYPES))
+    return customer_notes(spark, folder).select(
+        "c_custkey", redaction.redact_patterns(F.col("note"), rules).alias("redacted"))
 
 
 _CTX = O.infer_field(O.canonical(O.spans(
@@ -163,15 +190,15 @@ SELECT d.doc_id, coalesce({_chain("r.body", [])}, d.text) IS NOT NULL AS present
     {O.lit(P.VALUE_PATTERNS['IP_ADDRESS'])}, '[REDACTED_IP_ADDRESS]', 'g') END AS redacted
 FROM documents d LEFT JOIN r USING (doc_id)""")
 def redact_context_docs(spark, folder):
-    docs = spread_table(spark, folder, "documents").select("doc_id", "text")
-    return redaction.redact_in_context(docs, "text", [DETECTORS[EMAIL], DETECTORS[IP]]).select(
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return redaction.redact_in_context(docs, "text", [DETECTORS[EMAIL], DETECTORS[IP]], fallback=False).select(
         "doc_id", F.lit(True).alias("present"), "redacted")
 
 
 @query("text_fingerprint", """
 SELECT doc_id, length(text) AS length, sha256(text) AS sha256 FROM documents""")
 def text_fingerprint(spark, folder):
-    return spread_table(spark, folder, "documents").select(
+    return table(spark, folder, "documents").select(
         "doc_id", redaction.text_fingerprint(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
@@ -179,7 +206,7 @@ def text_fingerprint(spark, folder):
     f"SELECT '{d}' AS type, 0::BIGINT AS items" for d in DOCUMENT_SET))
 def redact_residual(spark, folder):
     redacted = redaction.redact_spans(
-        spread_table(spark, folder, "documents").select("text"), "text", [DETECTORS[d] for d in DOCUMENT_SET])
+        table(spark, folder, "documents").select("text"), "text", [DETECTORS[d] for d in DOCUMENT_SET])
     return redaction.residual(redacted, "redacted", [DETECTORS[d] for d in DOCUMENT_SET])
 
 

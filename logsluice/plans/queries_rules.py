@@ -151,6 +151,46 @@ def profile_and_apply(spark, folder):
         timed.cast("timestamp_ntz").alias("event_time"))
 
 
+_ZONED = "strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S')||'+02:00'"
+_MESSAGE = "'event='||event_type||' user='||login||' value: '||val||' code = '||k"
+_IN_MESSAGE = "'code='||k, 'event='||event_type, 'user='||login, 'value='||val"
+_SYSLOG_STAMP = "strftime(ts, '%b ')||lpad(CAST(day(ts) AS VARCHAR), 2, ' ')||strftime(ts, ' %H:%M:%S')"
+
+
+@query("profile_and_apply_all", f"""
+WITH e AS (SELECT *, event_id % 8 AS turn FROM ({EV})),
+f AS (SELECT *, CASE turn
+  WHEN 0 THEN ['clientip='||ip, 'ident=-', 'auth='||login, 'timestamp='||strftime(ts, '%d/%b/%Y:%H:%M:%S')||' +0000',
+    'method=GET', 'uri=/'||event_type, 'protocol=HTTP/1.1', 'status=200', 'bytes='||k, 'referer=-',
+    'useragent=Mozilla/5.0 (KHTML, like Gecko)']
+  WHEN 1 THEN ['user='||login||',', 'ip='||ip||',', 'ok=1', 'at='||{_ZONED}]
+  WHEN 2 THEN ['pad='||repeat('x, ', 120), 'timestamp='||strftime(ts, '%Y-%m-%dT%H:%M:%S')||'.5Z', 'event='||event_type]
+  WHEN 3 THEN ['priority='||(k+1), 'timestamp='||{_SYSLOG_STAMP}, 'host='||host, 'message='||{_MESSAGE}, {_IN_MESSAGE}]
+  WHEN 4 THEN ['priority='||(k+1), 'version=1', 'timestamp='||strftime(ts, '%Y-%m-%dT%H:%M:%S')||'Z', 'host='||host,
+    'app_name=app'||(k%5), 'proc_id='||user_id, 'msg_id=ID'||k, 'message='||{_MESSAGE}, {_IN_MESSAGE}]
+  WHEN 5 THEN ['column_1='||event_id, 'column_2='||strftime(ts, '%Y-%m-%d %H:%M:%S'), 'column_3='||event_type,
+    'column_4=said "'||login||'", then left', 'column_5='||val]
+  WHEN 6 THEN ['kind='||event_type, 'ts='||{_ZONED}] ELSE [] END AS pairs FROM e)
+SELECT event_id, CASE turn WHEN 7 THEN NULL WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')||'.5'
+  WHEN 3 THEN strftime(ts, '%m-%d %H:%M:%S')||'.0' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S')||'.0' END AS event_time,
+  array_to_string(list_sort(pairs), '; ') AS fields,
+  CASE turn WHEN 7 THEN 'mail [REDACTED_EMAIL] at [REDACTED_IP_ADDRESS]' END AS raw_without_spec,
+  CASE turn WHEN 7 THEN 'no specification' END AS error FROM f""")
+def profile_and_apply_all(spark, folder):
+    """Every line, every field and the whole time of lines that are easily misread; the last sourcetype
+    was not profiled."""
+    events = R.hard_events(spark, folder).select("event_id", "sourcetype", "raw")
+    specs = profile(events.filter(~F.col("sourcetype").eqNullSafe("other")))
+    done = A.apply_all(events, specs, ["event_id", "sourcetype"])
+    # A line without a year takes that of its ingest.
+    form = F.when(F.col("sourcetype") == "old", F.date_format("event_time", "MM-dd HH:mm:ss.S")).otherwise(
+        F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.S"))
+    pairs = F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return done.select(
+        "event_id", form.alias("event_time"), F.array_join(F.array_sort(pairs), "; ").alias("fields"),
+        F.when(F.col("error").isNotNull(), F.col("raw")).alias("raw_without_spec"), "error")
+
+
 # --- Extension points ---------------------------------------------------------------------------
 
 @query("sql_functions", f"""
@@ -182,6 +222,28 @@ def sql_pii_spans(spark, folder):
         LATERAL VIEW OUTER explode(spans) v AS s WHERE s IS NOT NULL""")
 
 
+@query("sql_pii_spans_in_context", """
+SELECT c_custkey, 'pw'||lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0')||'x' AS text,
+  CAST(strpos(note, 'password=') + 8 AS BIGINT) AS start_pos, CAST(length(note) AS BIGINT) AS end_pos, 1.0::DOUBLE AS score
+FROM (SELECT c_custkey, c_name||' born 19'||lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0')||'-'
+  ||lpad(CAST((c_custkey % 9 + 1) % 100 AS VARCHAR), 2, '0')||'-'||lpad(CAST((c_custkey % 28 + 1) % 100 AS VARCHAR), 2, '0')
+  ||', licence ABCDE'||lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0')||'AB'||(c_custkey % 10)||'XY, code SW'
+  ||(c_custkey % 9 + 1)||'A '||(c_custkey % 10)||'AA, number AB'||lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0')
+  ||'C, ref 12345 '||lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0')||', plate AB'
+  ||lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0')||' CDE, by @cust'||c_custkey||' skype: live.user'||c_custkey
+  ||' password=pw'||lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0')||'x' AS note FROM customer)""")
+def sql_pii_spans_in_context(spark, folder):
+    """The span function with offsets; a credential is the value without what leads to it."""
+    from logsluice.functions.register import register
+
+    register(spark)
+    R.customer_notes(spark, folder).createOrReplaceTempView("_sluice_notes")
+    return spark.sql("""
+        SELECT c_custkey, s.text, CAST(s.start AS BIGINT) AS start_pos, CAST(s.end AS BIGINT) AS end_pos, s.score
+        FROM (SELECT c_custkey, pii_spans(note) AS spans FROM _sluice_notes)
+        LATERAL VIEW OUTER explode(spans) v AS s WHERE s.type = 'CredentialDetector'""")
+
+
 @query("custom_detector_class", O.spans("documents", ["doc_id"], "text", ["EmailDetector"]).replace(
     "'EmailDetector' AS type", "'MailFinder' AS type").replace("0 AS ord", "0 AS ord").replace(
     "SELECT doc_id, CAST", "SELECT doc_id, CAST", 1))
@@ -189,7 +251,7 @@ def custom_detector_class(spark, folder):
     """A detector written in Python, batch-wise over Arrow, beside the pattern detectors."""
     from logsluice.functions.python_detector import PatternFinder, detect_with
 
-    docs = table(spark, folder, "documents").select("doc_id", "text").filter(F.col("text").contains("@"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     finder = PatternFinder("MailFinder", DETECTORS["EmailDetector"].pattern)
     rows = each(docs, ["doc_id"], detect_with(finder)(F.col("text"))).select("doc_id", "s.*")
     return rows.select(
@@ -283,6 +345,19 @@ def stream_pii_rate(spark, folder):
     return _ntz(SO.run_to_table(spark, rates, "rate").drop("end_ts"), "start_ts")
 
 
+@query("stream_failure_rate", """
+WITH s AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * i) AS start_ts, event_type
+  FROM events, (SELECT unnest([0, 1, 2, 3]) AS i))
+SELECT start_ts, count(*) AS events, count(*) FILTER (event_type = 'error') AS failures,
+  round(count(*) FILTER (event_type = 'error') / count(*), 4) AS rate FROM s
+WHERE start_ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY start_ts""")
+def stream_failure_rate(spark, folder):
+    """The sliding rate as a stream: windows that the final watermark has closed."""
+    events = SW.with_event_time(SO.stream_table(spark, folder, "events"))
+    rates = SW.flat_window(SW.failure_rate(events, F.col("event_type") == "error")).drop("end_ts")
+    return _ntz(SO.run_to_table(spark, rates, "failures"), "start_ts")
+
+
 @query("stream_dedup", "SELECT event_id, user_id FROM events")
 def stream_dedup(spark, folder):
     """Every event arrives twice."""
@@ -306,8 +381,8 @@ def stream_drift(spark, folder):
     """Field names that a stream shows for the first time."""
     events = R.with_typed_values(SO.stream_table(spark, folder, "events"))
     line = R.text("k", F.col("k"), "=1 login=", F.col("login"))
-    names = each(events, [F.col("event_type").alias("sourcetype")], X.kv_pairs(line), "p").select(
-        "sourcetype", F.col("p.name").alias("name"))
+    names = each(events, [F.col("event_type").alias("sourcetype"), "ts"], X.kv_pairs(line), "p").select(
+        "sourcetype", "ts", F.col("p.name").alias("name"))
     return SO.run_to_table(spark, SW.first_seen(names), "drift")
 
 

@@ -182,9 +182,6 @@ def fields_existing(spark, folder):
     return fields.existing_fields(events, "event_type", "event_id")
 
 
-_MODELS = [m for m in CIM_MODELS][:5]
-
-
 @query("cim_model_lookup", f"""
 WITH m AS (SELECT model, count(*) AS n FROM {values_sql(model_rows(), 'model, cim_field, pos')} GROUP BY model),
 e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'web' WHEN 'signup' THEN 'authentication'

@@ -35,14 +35,11 @@ def latest_sample(
 def sample_per_sourcetype(events: DataFrame, n: int = 1, key: str = "event_id") -> DataFrame:
     """The last n events of every sourcetype.
 
-    The choice is made over narrow rows without the text. The rank filter limits each sourcetype on
-    the map side, so at most n rows per sourcetype and partition are shuffled; the chosen keys then
-    fetch their events.
+    The rank filter limits each sourcetype on the map side, so only n rows per sourcetype and partition
+    are shuffled, and those carry their events with them.
     """
     order = Window.partitionBy("sourcetype").orderBy(F.col("ts").desc(), key)
-    chosen = events.select("sourcetype", "ts", key).withColumn(
-        "rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return events.join(chosen.select("sourcetype", key, "rank"), ["sourcetype", key])
+    return events.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
 def provenance(source: Column) -> dict[str, Column]:

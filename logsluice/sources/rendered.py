@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logsluice.sources.tables import spread_table
+from logsluice.sources.tables import table
 
 FORMATS = ["apache", "json", "csv", "kv", "syslog", "xml"]
 
@@ -25,7 +25,7 @@ def digits(number: Column, width: int) -> Column:
 
 def typed_events(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` with the values that appear in rendered lines."""
-    return with_typed_values(spread_table(spark, folder, "events"))
+    return with_typed_values(table(spark, folder, "events"))
 
 
 def with_typed_values(events: DataFrame) -> DataFrame:
@@ -154,6 +154,34 @@ def rendered_events(spark: SparkSession, folder: str) -> DataFrame:
     }).withColumn("source", text("file:", F.col("host"), ".log"))
 
 
+def hard_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines whose form or time is easily taken for something else, one sourcetype per form.
+
+    Commas in access lines and pairs, a time far behind in a JSON line, a zone that is not UTC, the two
+    framed forms of syslog, CSV without a header, lines without a sourcetype.
+    """
+    zoned = text(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), "+02:00")
+    lines = {
+        "access": text(
+            F.col("ip"), " - ", F.col("login"), " [", F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), ' +0000] "GET /',
+            F.col("event_type"), ' HTTP/1.1" 200 ', F.col("k"), ' "-" "Mozilla/5.0 (KHTML, like Gecko)"'),
+        "pairs": text("user=", F.col("login"), ", ip=", F.col("ip"), ", ok=1 at=", zoned),
+        "deep": text('{"pad":"', F.repeat(F.lit("x, "), 120), '","timestamp":"', F.date_format(
+            "ts", "yyyy-MM-dd'T'HH:mm:ss"), '.5Z","event":"', F.col("event_type"), '"}'),
+        "old": syslog_3164_line(),
+        "new": syslog_5424_line(),
+        "table": text(F.col("event_id"), ",", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), ",", F.col("event_type"),
+                      ',"said ""', F.col("login"), '"", then left",', F.col("val")),
+        None: text("kind=", F.col("event_type"), " ts=", zoned),
+        "other": text("mail ", F.col("email"), " at ", F.col("ip")),
+    }
+    turn, raw, kind = (F.col("event_id") % len(lines)).cast("int"), None, None
+    for i, (name, line) in enumerate(lines.items()):
+        raw = F.when(turn == i, line) if raw is None else raw.when(turn == i, line)
+        kind = F.when(turn == i, F.lit(name)) if kind is None else kind.when(turn == i, F.lit(name))
+    return typed_events(spark, folder).withColumns({"sourcetype": kind.cast("string"), "raw": raw})
+
+
 def customer_notes(spark: SparkSession, folder: str) -> DataFrame:
     """A free text per customer with one value for each number and handle we have a detector for."""
     key = F.col("c_custkey")
@@ -163,7 +191,7 @@ def customer_notes(spark: SparkSession, folder: str) -> DataFrame:
         key % 9 + 1, "A ", key % 10, "AA, number AB", digits(key, 6), "C, ref 12345 ",
         digits(key, 5), ", plate AB", digits(key, 2), " CDE, by @cust", key, " skype: live.user",
         key, " password=pw", digits(key, 6), "x")
-    return spread_table(spark, folder, "customer").select("c_custkey", note.alias("note"))
+    return table(spark, folder, "customer").select("c_custkey", note.alias("note"))
 
 
 def customer_contacts(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,7 +208,7 @@ def customer_contacts(spark: SparkSession, folder: str) -> DataFrame:
     access = text(
         ip, ' - - [01/Jan/2024:12:00:00 +0000] "GET /?m=', F.lit("x"), ' HTTP/1.1" 200 12 ', email)
     turn = key % 3
-    return spread_table(spark, folder, "customer").select(
+    return table(spark, folder, "customer").select(
         "c_custkey", "c_mktsegment", email.alias("email"), ip.alias("ip"), phone.alias("phone"),
         ssn.alias("ssn"), card.alias("card"),
         F.when(turn == 0, pairs).when(turn == 1, json).otherwise(access).alias("raw"))

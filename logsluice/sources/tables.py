@@ -9,13 +9,3 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table, read as it is stored."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
-
-def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose rows are expensive to scan (text for many patterns).
-
-    If the files give fewer partitions than there are cores, rows are dealt out once so that every
-    core works. Tables of many partitions are read as they are: no shuffle of raw text at scale.
-    """
-    df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -62,7 +62,17 @@ def sessions(df: DataFrame, by: list[str], ts: str = "ts", gap: str = "30 minute
         F.sum("events").alias("events")).select(*by, "w", "events")
 
 
-def first_seen(df: DataFrame, by: str = "sourcetype", name: str = "name") -> DataFrame:
-    """Field names when they occur for the first time. State holds one entry per name and
-    sourcetype, which the catalogue bounds, so it needs no watermark."""
-    return df.select(by, name).dropDuplicates([by, name])
+FORGET_AFTER = "7 days"
+
+
+def first_seen(
+    df: DataFrame, by: str = "sourcetype", name: str = "name", ts: str = "ts", forget: str = FORGET_AFTER,
+) -> DataFrame:
+    """Field names when they occur for the first time.
+
+    On a stream a name is kept until event time has passed it by ``forget``, so names that carry data
+    leave the state again; a name that comes back after that is reported once more.
+    """
+    if not df.isStreaming:
+        return df.select(by, name).dropDuplicates([by, name])
+    return df.select(by, name, ts).withWatermark(ts, forget).dropDuplicatesWithinWatermark([by, name]).select(by, name)

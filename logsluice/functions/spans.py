@@ -56,7 +56,8 @@ def detect_sql(text: str, detector: Detector, order: int) -> str:
     Matches, empty ones too, are those of a single run of the pattern over the whole text, so anchors
     and lookarounds see what they should. Marks that a text already holds count as U+FFFD.
     """
-    pattern = sql_text(detector.pattern)
+    # No match, an empty one in particular, may start between the halves of a surrogate pair.
+    pattern = sql_text(rf"(?![\uDC00-\uDFFF])(?:{detector.pattern})")
     gate = f"{text} RLIKE {pattern}"
     if detector.gate is not None:
         cheap = sql_text(detector.gate)

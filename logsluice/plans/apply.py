@@ -91,10 +91,10 @@ def _branches(
     return otherwise if chain is None else chain.otherwise(otherwise)
 
 
-def _table(entries: dict[str, str]) -> Column:
-    """A literal map; NULL for a key it doesn't have."""
+def _table(entries: dict[str, str], kind: str = "string") -> Column:
+    """A literal map from text to SQL expressions of one kind."""
     if not entries:
-        return F.expr("CAST(map() AS map<string,string>)")
+        return F.expr(f"CAST(map() AS map<string,{kind}>)")
     return F.expr(f"map({', '.join(f'{sql_text(k)}, {v}' for k, v in entries.items())})")
 
 
@@ -129,7 +129,7 @@ def _reader_shape(spec: OnboardingSpec) -> Hashable:
 def _fields(line: Column, sourcetype: Column, specs: Sequence[OnboardingSpec]) -> Column:
     """Extracted, redacted and mapped fields of a line as a map."""
     none = F.expr("CAST(array() AS array<struct<name:string,value:string>>)")
-    wanted = _table({_key(s): f"array({', '.join(map(sql_text, s.new_fields()))})" for s in specs if s.new_fields()})
+    wanted = _table({_key(s): f"array({', '.join(map(sql_text, s.new_fields()))})" for s in specs if s.new_fields()}, "array<string>")
     names = F.try_element_at(wanted, sourcetype)
     pairs = F.coalesce(_branches(sourcetype, specs, _reader_shape, lambda s: _read_pairs(line, s), none), none)
     kept = bind(names, lambda own: X.first_per_name(F.filter(

@@ -90,10 +90,10 @@ def profile(
     shaped = line_shapes(df.select("event_id", "sourcetype", "raw"))
     counts = shaped.groupBy("sourcetype", "fmt", "time_format", "prefix").agg(
         F.count("*").alias("n"), F.max("_seps").alias("seps"),
-        F.min_by("raw", F.when(F.col("fmt") == "csv", F.col("event_id"))).alias("first"))
+        F.min(F.when(F.col("fmt") == "csv", F.struct("event_id", "raw"))).alias("first"))
     # A format is settled by its lines; of its lines the most frequent time and place of it are taken.
     per_format = counts.groupBy("sourcetype", "fmt").agg(
-        F.sum("n").alias("lines"), F.max("seps").alias("seps"), F.min("first").alias("first"),
+        F.sum("n").alias("lines"), F.max("seps").alias("seps"), F.min("first")["raw"].alias("first"),
         F.min_by(F.struct("time_format", "prefix"), F.struct(
             (F.col("time_format") == P.CURRENT_TIME).alias("none"), -F.col("n"), "time_format", "prefix")).alias("time"))
     best = per_format.groupBy("sourcetype").agg(

@@ -64,11 +64,11 @@ def running(values: Column, combine: Callable[[Column, Column], Column] | None =
 
 def first_flags(names: Column) -> Column:
     """For each element whether it is the first of its value, as ``array<struct(place, first)>`` by place."""
-    places = F.array_sort(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("place"))))
+    places = F.sort_array(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("place"))))
     flags = bind(places, lambda every: F.transform(every, lambda e, j: F.struct(
         e["place"].alias("place"),
         ((j == 0) | ~e["name"].eqNullSafe(F.get(every, j - 1)["name"])).alias("first"))))
-    return F.array_sort(flags)
+    return F.sort_array(flags)
 
 
 def text_blocks(text: Column) -> Column:

@@ -232,7 +232,7 @@ def _counted(values: Column) -> Column:
             F.sequence(F.lit(0), F.size(every) - 1), lambda i: (i == 0) | (F.get(every, i) != F.get(every, i - 1)))
         return F.when(F.size(every) > 0, bind(places, counts))
 
-    return bind(F.array_sort(values), runs)
+    return bind(F.sort_array(values), runs)
 
 
 def tokens(df: DataFrame, keys: Sequence[str], text: str, sizes: Sequence[int] = (1,)) -> DataFrame:

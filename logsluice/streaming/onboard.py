@@ -10,10 +10,20 @@ from logsluice.plans.apply import apply
 from logsluice.plans.spec import OnboardingSpec
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table as a stream of its files; the schema is that of the table."""
+def stream_table(
+    spark: SparkSession, folder: str, name: str, max_files: int | None = None, max_bytes: str | None = None,
+) -> DataFrame:
+    """A parquet table, one file or a folder of files, as a stream; the schema is that of the table.
+
+    ``max_files`` and ``max_bytes`` bound a batch.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    reader = spark.readStream.schema(schema)
+    for option, value in (("maxFilesPerTrigger", max_files), ("maxBytesPerTrigger", max_bytes)):
+        if value is not None:
+            reader = reader.option(option, value)
+    # A stream takes no path of a single file, but a pattern that only this file matches.
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def write_table(

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A side of at most so many rows may be broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 # Texts are turned into arrays in pieces of about so many bytes, whole documents each.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -63,6 +64,13 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(kind).to_pylist()]
 
 
+def text_pieces(batch: pa.RecordBatch, name: str, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of a batch with their texts, so that only one piece of it is held twice."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy()
+    for lo, hi in pieces(sizes, limit):
+        yield lo, hi, binary_column(batch.slice(lo, hi - lo), name)
+
+
 def pieces(sizes: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose sizes add up to about ``limit``; a larger row is a range of its own."""
     first, total = 0, 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from logsluice.llm.common import binary_column, cut, pieces, small
+from logsluice.llm.common import cut, small, text_pieces
 
 ORDER = 5
 CHAR_BITS = 12
@@ -36,6 +36,8 @@ HOLDOUT_FOLDS = 5
 QUANTILE = 0.995
 MARGIN = 1.5
 MIN_HELD_OUT = 30
+# Distinct n-grams of pieces that a task holds before it merges them, unless its own are more.
+MERGE_AT = 1 << 20
 QUANTILE_ACCURACY = 10_000
 _ORDER_SHIFT = ORDER * CHAR_BITS
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -80,16 +82,15 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return every, np.bincount(where, np.concatenate(counts)).astype(np.int64)
 
     for batch in batches:
-        texts = binary_column(batch, "text")
-        for lo, hi in pieces(np.array([len(t) for t in texts])):
-            ids, lengths = char_ids(texts[lo:hi])
+        for _, _, texts in text_pieces(batch, "text"):
+            ids, lengths = char_ids(texts)
             found = ngram_codes(ids, ORDER)[real_places(ids, lengths, ORDER)]
             every, n = np.unique(found, return_counts=True)
             codes.append(every), counts.append(n)
             held += len(every)
-            if held > 1 << 21:
+            if held > MERGE_AT:
                 every, n = merged()
-                codes, counts, held = [every], [n], 0
+                codes, counts, held = [every], [n], len(every) // 2
     if codes:
         every, n = merged()
         for at in range(0, len(every), 1 << 16):
@@ -276,10 +277,9 @@ def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _scored(batches: Iterator[pa.RecordBatch], part: Broadcast) -> Iterator[pa.RecordBatch]:
     shard = part.value.ready()
     for batch in batches:
-        texts = binary_column(batch, "text")
-        total, places = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for lo, hi in pieces(np.array([len(t) for t in texts])):
-            ids, lengths = char_ids(texts[lo:hi])
+        total, places = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+        for lo, hi, texts in text_pieces(batch, "text"):
+            ids, lengths = char_ids(texts)
             real = real_places(ids, lengths, ORDER)
             codes = ngram_codes(ids, ORDER)[real]
             score = np.zeros(len(codes))

@@ -202,8 +202,10 @@ def _members(source) -> Iterator[tuple[int, bytes]]:
 
 
 def read_archives(entries: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """All records of the files that the entries name, each file read from its start."""
-    runs = entries.select("run").distinct().repartition("run")
+    """All records of the files that the entries name, each file read from its start by a task of its own."""
+    runs = entries.select("run").distinct()
+    # A fixed number, as Spark would put so few names into one task.
+    runs = runs.repartition(max(1, runs.count()), "run")
     return runs.mapInArrow(partial(_read, folder=folder, payloads=payloads), RECORD)
 
 
@@ -282,5 +284,6 @@ def archive_and_read(pages: DataFrame, min_bytes: int = 0, **columns) -> DataFra
     entries = write_archives(pages, folder, min_bytes, **columns)
     records = read_archives(entries, folder, payloads=False)
     index = merge_index(entries).select("run", "offset", "urlkey")
-    return index.join(records, ["run", "offset"]).select(
+    # The names of the files are few, but not the records that are read from them: no broadcast.
+    return index.join(records.hint("merge"), ["run", "offset"]).select(
         "page_id", "url", "urlkey", "time", "payload_bytes", "payload_digest", "record_type", "refers_to")

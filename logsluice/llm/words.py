@@ -13,6 +13,12 @@ for _code in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
 for _code in range(0x41, 0x5B):
     _KEPT[_code] = _code + 0x20
 
+# Words are runs of anything but space and the codes 9 to 13; A-Z are lower-cased, a zero byte counts as a letter.
+SPACED = np.arange(256, dtype=np.uint8)
+SPACED[0x41:0x5B] += 0x20
+SPACED[[0x20, *range(9, 14)]] = 0
+SPACED[0] = 0x20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -55,9 +61,9 @@ class Words:
             self.starts[begin:begin + count].tolist(), self.ends[begin:begin + count].tolist())])
 
 
-def find_words(texts: list[bytes]) -> Words:
+def find_words(texts: list[bytes], kept: np.ndarray = _KEPT) -> Words:
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    low = _KEPT[data]
+    low = kept[data]
     inside = np.concatenate([[0], (low > 0).view(np.int8)])
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)

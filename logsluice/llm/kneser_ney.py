@@ -9,7 +9,9 @@ broadcast and one pass over the documents adds its part of their log-probability
 stated blocks of a table that covers everything; their number grows with the model.
 
 Held-out trusted documents give each language a quantile of perplexity. A document above its language's
-quantile times a margin is rejected; the margin spares short clean texts, whose perplexity varies most.
+quantile times a margin is rejected; the margin spares short clean texts, whose perplexity varies most. A
+language with few held-out documents, or none, takes the spread around its centre from all languages together, and
+its centre is drawn towards theirs.
 
 Characters keep 12 bits: code points below U+0800 have an id each, others share the 2,046 ids above,
 dealt by a hash. A document starts with a start symbol, which is never predicted.
@@ -36,6 +38,8 @@ HOLDOUT_FOLDS = 5
 QUANTILE = 0.995
 MARGIN = 1.5
 MIN_HELD_OUT = 30
+# The centre of all languages counts as so many documents of each.
+PRIOR_DOCUMENTS = 2
 # Distinct n-grams of pieces that a task holds before it merges them, unless its own are more.
 MERGE_AT = 1 << 20
 QUANTILE_ACCURACY = 10_000
@@ -319,15 +323,30 @@ def _fold(id_col: str):
     return F.pmod(F.xxhash64(F.col(id_col), F.lit("fold")), F.lit(HOLDOUT_FOLDS))
 
 
-def thresholds(held_out: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``(lang, threshold)`` from perplexities of held-out trusted documents, one row per language.
+def thresholds(
+    held_out: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN,
+) -> tuple[DataFrame, float | None]:
+    """``(lang, threshold)`` from perplexities of held-out trusted documents, one row per language, and the
+    threshold of languages that have none of them; None if there is no such document at all.
 
-    A language with fewer than ``MIN_HELD_OUT`` of them has no threshold, so nothing of it is rejected.
+    A language with at least ``MIN_HELD_OUT`` of them has a quantile of its own. For the others the quantile is
+    that of perplexity over the language's centre, in all languages; the centre is the mean logarithm, with that of
+    all documents added ``PRIOR_DOCUMENTS`` times.
     """
-    return held_out.filter(F.col("perplexity").isNotNull()).groupBy("lang").agg(
-        F.percentile_approx("perplexity", quantile, QUANTILE_ACCURACY).alias("q"),
-        F.count("*").alias("n")).filter(F.col("n") >= MIN_HELD_OUT).select(
-        "lang", (F.col("q") * margin).alias("threshold"))
+    held = cut(held_out.filter(F.col("perplexity").isNotNull()).select(
+        F.col("lang").alias("_of"), F.col("perplexity").alias("p")))
+    everything = held.agg(F.avg(F.log("p"))).first()[0]
+    if everything is None:
+        return held.select(F.col("_of").alias("lang"), F.col("p").alias("threshold")), None
+    per = small(cut(held.groupBy("_of").agg(
+        F.percentile_approx("p", quantile, QUANTILE_ACCURACY).alias("q"), F.count("*").alias("n"),
+        F.sum(F.log("p")).alias("logs")).select(
+        F.col("_of").alias("lang"), "q", "n", F.exp((F.col("logs") + PRIOR_DOCUMENTS * everything) / (
+            F.col("n") + PRIOR_DOCUMENTS)).alias("centre"))))
+    spread = held.join(per, F.col("_of").eqNullSafe(F.col("lang"))).agg(
+        F.percentile_approx(F.col("p") / F.col("centre"), quantile, QUANTILE_ACCURACY)).first()[0]
+    own = F.when(F.col("n") >= MIN_HELD_OUT, F.col("q")).otherwise(F.col("centre") * spread)
+    return per.select("lang", (own * margin).alias("threshold")), float(np.exp(everything)) * spread * margin
 
 
 def classify(
@@ -348,9 +367,11 @@ def classify(
     good_rows = rows.join(trusted, rows["id"] == F.col("_good"), "left_semi")
     parts = list(shards(train(good_rows.filter(_fold("id") != 0)), shard_entries))
     held = perplexity(good_rows.filter(_fold("id") == 0), parts, ["lang"])
-    limits = small(cut(thresholds(held).withColumnRenamed("lang", "_lang")), 100_000)
+    limits, rest = thresholds(held)
+    limits = small(cut(limits.select(F.col("lang").alias("_lang"), F.col("threshold").alias("_own"))), 100_000)
     scored = perplexity(rows, parts, ["id", "lang"])
-    judged = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    judged = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn(
+        "threshold", F.coalesce("_own", F.lit(rest).cast("double"))).drop("_lang", "_own")
     return judged.withColumn("kept", ~F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False)))
 
 

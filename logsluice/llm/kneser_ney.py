@@ -5,8 +5,9 @@ are taken per task and summed in Spark; continuation counts, discounts, context
 interpolated probabilities of every order are joins of count tables in Spark. For scoring the
 probability table is cut into shards of at most ``shard_entries`` rows by the two characters before
 the predicted one, so that every back-off step of a position stays in one shard; each shard is
-broadcast and one pass over the documents adds its part of their log-probability. The shards are the
-stated blocks of a table that covers everything; their number grows with the model.
+broadcast, one pass over the documents adds its part of their log-probability, the sums are written, and the shard
+is given up before the next one is gathered: driver and workers hold one at a time. The shards are the stated
+blocks of a table that covers everything; their number grows with the model.
 
 Held-out trusted documents give each language a quantile of perplexity. A document above its language's
 quantile times a margin is rejected; the margin spares short clean texts, whose perplexity varies most. A
@@ -304,17 +305,53 @@ def _scored(batches: Iterator[pa.RecordBatch], part: Broadcast) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def perplexity(
-    docs: DataFrame, parts: Sequence[Broadcast], keys: Sequence[str], text_col: str = "text",
-) -> DataFrame:
-    """``keys``, ``chars`` and ``perplexity`` per character; NULL without text or without shards."""
+def _sums(docs: DataFrame, parts: Sequence[Broadcast], keys: Sequence[str], text_col: str) -> DataFrame:
+    """``keys``, and the log-probability ``logp`` that the parts add for ``chars`` characters."""
     rows = docs.select(
         *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text_col).cast("string").alias("text"),
         F.lit(0.0).alias("logp"), F.lit(0).cast("long").alias("chars"))
     for part in parts:
         rows = rows.mapInArrow(partial(_scored, part=part), rows.schema)
+    return rows.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "logp", "chars")
+
+
+def _per_character(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     value = F.when(F.col("chars") > 0, F.exp(-F.col("logp") / F.col("chars")))
-    return rows.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "chars", value.alias("perplexity"))
+    return sums.select(*keys, "chars", value.alias("perplexity"))
+
+
+def perplexity(
+    docs: DataFrame, parts: Sequence[Broadcast], keys: Sequence[str], text_col: str = "text",
+) -> DataFrame:
+    """``keys``, ``chars`` and ``perplexity`` per character; NULL without text or without shards."""
+    return _per_character(_sums(docs, parts, keys, text_col), keys)
+
+
+def perplexity_by_shards(
+    docs: DataFrame, model: DataFrame | None, keys: Sequence[str], shard_entries: int = SHARD_ENTRIES,
+    text_col: str = "text",
+) -> DataFrame:
+    """As ``perplexity``, written, with one shard of the model at a time.
+
+    Sums of several shards are kept per text, by its digest, so that equal rows need not be told apart.
+    """
+    if model is None:
+        return perplexity(docs, [], keys, text_col)
+    if model.count() <= shard_entries:
+        for part in shards(model, shard_entries):
+            out = cut(perplexity(docs, [part], keys, text_col))
+            part.destroy()
+            return out
+    rows = docs.withColumn("_digest", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    total = None
+    for part in shards(model, shard_entries):
+        each = _sums(rows, [part], ["_digest"], text_col).groupBy("_digest").agg(
+            F.max("logp").alias("logp"), F.max("chars").alias("chars"))
+        if total is not None:
+            each = total.unionByName(each).groupBy("_digest").agg(F.sum("logp").alias("logp"), F.max("chars").alias("chars"))
+        total = cut(each)
+        part.destroy()
+    return cut(_per_character(rows.select(*keys, "_digest").join(total, "_digest"), keys))
 
 
 # --- the classifier ------------------------------------------------------------------------------------
@@ -365,11 +402,10 @@ def classify(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).cast("string").alias("text"))
     good_rows = rows.join(trusted, rows["id"] == F.col("_good"), "left_semi")
-    parts = list(shards(train(good_rows.filter(_fold("id") != 0)), shard_entries))
-    held = perplexity(good_rows.filter(_fold("id") == 0), parts, ["lang"])
+    scored = perplexity_by_shards(rows, train(good_rows.filter(_fold("id") != 0)), ["id", "lang"], shard_entries)
+    held = scored.join(trusted, scored["id"] == F.col("_good"), "left_semi").filter(_fold("id") == 0)
     limits, rest = thresholds(held)
     limits = small(cut(limits.select(F.col("lang").alias("_lang"), F.col("threshold").alias("_own"))), 100_000)
-    scored = perplexity(rows, parts, ["id", "lang"])
     judged = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn(
         "threshold", F.coalesce("_own", F.lit(rest).cast("double"))).drop("_lang", "_own")
     return judged.withColumn("kept", ~F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False)))

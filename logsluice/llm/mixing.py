@@ -2,7 +2,8 @@
 
 Each source has a target share of the mixture. Its mean repetition rate is what brings its characters to
 that share; every document draws its number of copies from a Poisson distribution with that mean, by
-inverting the distribution at a uniform number hashed from a seed and its id. Copies are then dealt out
+inverting the distribution at a uniform number hashed from a seed and its id. A rate above ``DRAW_RATE`` is
+the sum of several independent draws of equal, smaller rates. Copies are then dealt out
 globally in the order of another hash.
 
 Everything is DataFrame expressions. The weights are the caller's, so the table of sources has one row per
@@ -23,7 +24,9 @@ SEED = "mix-1"
 _UNIFORM_BITS = 52
 # A Poisson variable above its mean by this many terms has a probability below the uniform's last bit.
 _TAIL_TERMS = 60
-# The most repetitions a source may have on average (epochs over it).
+# The largest mean of one draw.
+DRAW_RATE = 64.0
+# The bound in OP1_SQL, which the given tables don't reach; the operator has none.
 MAX_RATE = 64.0
 
 
@@ -50,7 +53,7 @@ def poisson_steps(rate: Column) -> Column:
 
 def source_rates(
     docs: DataFrame, weights: Mapping[str, float], rest: float, size: float = 1.0, source_col: str = "source",
-    text_col: str = "text", max_rate: float = MAX_RATE,
+    text_col: str = "text", max_rate: float | None = None,
 ) -> DataFrame:
     """``(bucket, chars, rate)``: one row per named source and one, with a NULL bucket, for the others.
 
@@ -68,8 +71,10 @@ def source_rates(
     target = F.lit(rest / scale)
     if share is not None:
         target = F.when(F.col("bucket").isNull(), rest / scale).otherwise(share[F.col("bucket")])
-    rate = F.when(F.col("chars") > 0, F.least(
-        target * size * F.lit(float(everything)) / F.col("chars"), F.lit(max_rate))).otherwise(0.0)
+    rate = target * size * F.lit(float(everything)) / F.col("chars")
+    if max_rate is not None:
+        rate = F.least(rate, F.lit(max_rate))
+    rate = F.when(F.col("chars") > 0, rate).otherwise(0.0)
     return totals.withColumn("rate", rate)
 
 
@@ -80,25 +85,33 @@ def _bucket(weights: Mapping[str, float], source_col: str) -> Column:
 
 def mix(
     docs: DataFrame, weights: Mapping[str, float], rest: float, size: float = 1.0, seed: str = SEED,
-    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_rate: float = MAX_RATE,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_rate: float | None = None,
 ) -> DataFrame:
     """The mixture: all columns of ``docs``, and ``mix_rate``, ``mix_copy`` (from 0) and ``mix_order``.
 
     Rows are in global order of ``mix_order``, a hash of seed, id and copy. Sources that are not named,
     NULL among them, share ``rest``. A source without characters has rate 0, so its documents leave; so
-    do those of a source with weight 0. No source is repeated more than ``max_rate`` times on average. Rows that repeat an id get the
+    do those of a source with weight 0. With ``max_rate`` no source is repeated more
+    often than that on average, and then misses its share. Rows that repeat an id get the
     same number of copies each; NULL ids count as one id. An empty table gives an empty mixture. Columns named like those added
     are replaced.
     """
     rates = F.broadcast(source_rates(docs, weights, rest, size, source_col, text_col, max_rate).withColumn(
-        "steps", poisson_steps(F.col("rate"))))
+        "draws", F.greatest(F.ceil(F.col("rate") / DRAW_RATE), F.lit(1)).cast("int")).withColumn(
+        "steps", poisson_steps(F.col("rate") / F.col("draws"))))
     kept = [c for c in docs.columns if c not in ("mix_rate", "mix_copy", "mix_order")]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), _bucket(weights, source_col).alias("doc_bucket"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"))
     rows = rows.join(rates, F.col("doc_bucket").eqNullSafe(F.col("bucket"))).withColumn(
         "u", uniform(F.lit(seed), F.col("key"), F.lit("count")))
-    drawn = rows.withColumn("copies", F.size(F.filter("steps", lambda step: step <= F.col("u")))).filter("copies > 0")
+
+    def draw(u: Column) -> Column:
+        return F.size(F.filter("steps", lambda step: step <= u))
+
+    more = F.aggregate(F.sequence(F.lit(1), F.col("draws") - 1), draw(F.col("u")), lambda total, i: total + draw(
+        uniform(F.lit(seed), F.col("key"), F.lit("count"), i.cast("string"))))
+    drawn = rows.withColumn("copies", F.when(F.col("draws") > 1, more).otherwise(draw(F.col("u")))).filter("copies > 0")
     out = drawn.select("doc", "key", "rate", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     out = out.select(
         "doc.*", F.col("rate").alias("mix_rate"), F.col("copy").alias("mix_copy"),

@@ -232,6 +232,18 @@ def component_roots(links: DataFrame) -> DataFrame:
         edges = cut(_star(_star(edges, True), False))
 
 
+def _classes(
+    docs: DataFrame, id_col: str, text_col: str, words: int, budget: int, group_rows: int,
+) -> tuple[DataFrame, DataFrame]:
+    """``(id, fp)`` per document and ``(fp, root, component_id)`` per fingerprint; ``root`` names its component."""
+    fps = cut(fingerprints(docs, id_col, text_col, words))
+    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("first_id")))
+    roots = component_roots(trie_links(classes.select("fp"), budget, group_rows))
+    joined = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return fps, joined.join(lowest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
     budget: int = BUDGET, group_rows: int = GROUP_ROWS,
@@ -243,47 +255,51 @@ def near_duplicates(
     row with a NULL id counts for linking; a component without any other id has a NULL component.
     An empty table gives no rows. Other columns are not read, so their names don't matter.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, words))
-    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("first_id")))
-    roots = component_roots(trie_links(classes.select("fp"), budget, group_rows))
-    joined = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = joined.join(lowest, "root").select("fp", "component_id")
-    return fps.join(component, "fp").select("id", "fp", "component_id")
+    fps, classes = _classes(docs, id_col, text_col, words, budget, group_rows)
+    return fps.join(classes.drop("root"), "fp").select("id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def _with_fingerprint(batches: Iterator[pa.RecordBatch], text_col: str, words: int) -> Iterator[pa.RecordBatch]:
+def _with_fingerprint(batches: Iterator[pa.RecordBatch], text_col: str, words: int, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(t, words) for t in binary_column(batch, text_col)]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(np.array(found, np.uint64).view(np.int64))], [*batch.schema.names, "_fp"])
+            [*batch.columns, pa.array(np.array(found, np.uint64).view(np.int64))], [*batch.schema.names, name])
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, **options,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
+    budget: int = BUDGET, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """One document of each component, that with the smallest id; all columns of ``docs``.
+    """One document of each component stays, that with the smallest id, NULL last; all columns of ``docs``.
 
-    Of rows that repeat both an id and a fingerprint one stays; rows that share an id only are judged each. Rows
-    without an id stay, as no decision can name them. Only ids are joined to the texts, and the rows of
-    repeated ids find their decision by id and fingerprint.
+    Rows with an id of their own find their decision by it. Rows that share an id or have none get their fingerprint
+    again and are judged by both; of rows that repeat both one stays. NULL, empty and blank texts are one
+    component. Very long texts are fingerprinted whole. An empty table gives no rows. Column names may clash with none,
+    as those used here are chosen apart from them.
     """
-    found = cut(near_duplicates(docs, id_col, text_col, words, **options).filter(F.col("id").isNotNull()))
-    repeated = small(cut(found.groupBy("id").count().filter("count > 1").select("id")))
-    goes = small(cut(found.filter("id <> component_id").select("id").distinct()))
+    fps, classes = _classes(docs, id_col, text_col, words, budget, group_rows)
+    found = cut(fps.join(classes, "fp").select("id", "fp", "root"))
+    keeper = cut(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("k")))
+    shared = small(cut(found.groupBy("id").count().filter("count > 1 OR id IS NULL").select("id")))
+    goes = found.join(keeper.select("root", F.col("k.id").alias("kept")), "root").filter("NOT id <=> kept")
+    goes = small(cut(goes.filter("id IS NOT NULL").select("id").distinct()))
     key = docs[id_col].cast("long")
-    once = docs.join(repeated, key == repeated["id"], "left_anti").join(goes, key == goes["id"], "left_anti")
-    if repeated.isEmpty():
+    once = docs.join(shared, key.eqNullSafe(shared["id"]), "left_anti").join(goes, key == goes["id"], "left_anti")
+    if shared.isEmpty():
         return once
-    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
-    again = docs.join(repeated, key == repeated["id"], "left_semi").mapInArrow(
-        partial(_with_fingerprint, text_col=text_col, words=words), schema)
-    stays = small(cut(found.filter("id = component_id").join(repeated, "id", "left_semi").select(
-        F.col("id").alias("_id"), F.col("fp").alias("_stays")).distinct()))
+    name = "fp"
+    while name in docs.columns:
+        name = f"_{name}"
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+    again = docs.join(shared, key.eqNullSafe(shared["id"]), "left_semi").mapInArrow(
+        partial(_with_fingerprint, text_col=text_col, words=words, name=name), schema)
+    stays = keeper.select(F.col("k.id").alias("id"), F.col("k.fp").alias("fp")).join(
+        shared.withColumnRenamed("id", "shared_id"), F.col("id").eqNullSafe(F.col("shared_id")), "left_semi")
+    stays = small(cut(stays))
     again = again.join(
-        stays, (again[id_col].cast("long") == stays["_id"]) & (again["_fp"] == stays["_stays"]), "left_semi")
-    return once.unionByName(again.dropDuplicates([id_col, "_fp"]).drop("_fp"))
+        stays, again[id_col].cast("long").eqNullSafe(stays["id"]) & (again[name] == stays["fp"]), "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, name]).drop(name))

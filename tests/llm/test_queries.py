@@ -31,7 +31,7 @@ def odd(spark, rows=ODD):
     """Odd rows under clashing names."""
     clash = {c: F.lit("clash") for c in (
         "id", "key", "fp", "row", "words", "hash", "spans", "n_words", "label", "score", "stratum", "_gone", "_good",
-        "_bucket", "mix_rate", "rules", "low", "grams", "perplexity", "component_id", "n", "kept", "template", "doc", "copies", "rate", "u", "copy", "_id", "_stays")}
+        "_bucket", "mix_rate", "rules", "low", "grams", "perplexity", "component_id", "n", "kept", "template", "doc", "copies", "rate", "u", "copy", "_id", "_stays", "_fp", "_key", "root", "shared_id")}
     return spark.createDataFrame(rows, DOCS).withColumns({"n_chars": F.length("text"), **clash})
 
 
@@ -109,7 +109,12 @@ def test_odd_stages(spark, tmp_path):
             if not rows:
                 assert out.count() == 0
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(ODD, DOCS), folder)
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == [1, 4, 5, 6, 6, 7]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "4", "5", "6", "6", "7", "None"])
+    copies = spark.createDataFrame(
+        [(None, "a b"), (None, "a b"), (None, "c d"), (3, "c d"), (3, "c d"), (4, "a b"), (5, "e"), (None, "f g"), (3, "h")], "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, copies, folder).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [
+        ("3", "c d"), ("3", "h"), ("4", "a b"), ("5", "e"), ("None", "f g")]
 
 
 def test_odd_conversations(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsluice.llm import decontaminate, kneser_ney, mixing, near_copies, personal
+from logsluice.llm import decontaminate, kneser_ney, mixing, personal, simhash
 from logsluice.llm.common import fresh_folder, table
 from logsluice.llm.queries import MIX_REST, MIX_WEIGHTS
 
@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each group of near duplicates stays: SimHash over three words, at most two differing bits."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

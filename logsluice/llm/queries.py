@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsluice.llm import chat, decontaminate, kneser_ney, licenses, mixing, personal, quality_rules, secrets_scan, simhash, warc
+from logsluice.llm import (
+    chat, decontaminate, divergence, kneser_ney, licenses, mixing, personal, quality_rules, secrets_scan, simhash, warc)
 from logsluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,3 +257,39 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select(F.col("id").alias("doc_id"), *quality_rules.COUNTS, "base_failed", "kept")
+
+
+OP11_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+tokens AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS all_n FROM tokens GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+uses AS (SELECT lang, source, term, count(*) AS n FROM tokens GROUP BY ALL),
+cells AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, all_n FROM groups JOIN kept USING (lang) LEFT JOIN uses USING (lang, source, term)),
+shares AS (
+  SELECT *, 1 + CAST({divergence.SCALE} AS HUGEINT) * (n + 2)
+      // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p,
+    1 + CAST({divergence.SCALE} AS HUGEINT) * (all_n + 2)
+      // (sum(all_n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS q FROM cells),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN shares AS x ON x.lang = a.lang AND x.source = a.source
+    LEFT JOIN shares AS y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+every AS (
+  SELECT * FROM pairs UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
+
+@query("op11_source_divergence", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))

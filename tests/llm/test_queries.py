@@ -16,7 +16,7 @@ def test_sql(spark, folder, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 LONG = "lorem ipsum dolor under the MIT License a@b.co " * 4000

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logsluice.llm import (
-    chat, decontaminate, divergence, kneser_ney, licenses, mixing, personal, quality_rules, secrets_scan, simhash, warc)
+    chat, decontaminate, divergence, kneser_ney, licenses, mixing, personal, quality_rules, secrets_scan, simhash,
+    token_store, warc)
 from logsluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -293,3 +294,17 @@ FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
 @query("op11_source_divergence", OP11_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
+
+
+def tokenizer_file() -> str:
+    """The place of the installed tokenizer's file; the folder of tokenizers is that of the machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op12_token_ids")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    stored = token_store.store_and_read(table(spark, folder, "documents"), tokenizer_file())
+    return stored.select(
+        F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), "ids_crc32")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logsluice.llm import (
-    chat, decontaminate, divergence, kneser_ney, licenses, mixing, personal, quality_rules, secrets_scan, simhash,
-    token_store, warc)
+    chat, decontaminate, divergence, kneser_ney, licenses, mixing, negatives, personal, quality_rules, secrets_scan,
+    simhash, token_store, warc)
 from logsluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,3 +308,33 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     stored = token_store.store_and_read(table(spark, folder, "documents"), tokenizer_file())
     return stored.select(
         F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), "ids_crc32")
+
+
+# Labels of the contract: those of every seventh id are moved on by one.
+_MOVED_LABEL = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+OP13_SQL = f"""
+WITH rows_ AS (
+  SELECT row_number() OVER () AS r, vec_id, {_MOVED_LABEL} AS label,
+    list_transform(embedding, lambda x: floor({negatives.SCALE} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+    CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows_ AS a JOIN rows_ AS b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, r) AS place FROM scores WHERE same)
+  WHERE place <= {negatives.POSITIVES}),
+hard AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST, s.r) AS rank
+  FROM positives AS p JOIN scores AS s ON s.anchor = p.anchor AND NOT s.same
+    AND {negatives.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {negatives.HIGH} * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM hard WHERE rank <= {negatives.NEGATIVES}"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(table(spark, folder, "embeddings"), label=F.expr(_MOVED_LABEL))

@@ -60,7 +60,6 @@ def terms_of(text: bytes) -> list[bytes]:
 
 def _count(batches: Iterator[pa.RecordBatch], held_terms: int) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    seen: set[tuple[str, str]] = set()
 
     def flush() -> Iterator[pa.RecordBatch]:
         for (lang, source), (uses, docs) in counts.items():
@@ -77,10 +76,6 @@ def _count(batches: Iterator[pa.RecordBatch], held_terms: int) -> Iterator[pa.Re
     for batch in batches:
         groups = zip(*(batch.column(c).to_pylist() for c in ("lang", "source")))
         for group, text in zip(groups, batch.column("text")):
-            if group not in seen:
-                seen.add(group)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], t) for v, t in zip((*group, None, 0, 0), _COUNTS.types)], schema=_COUNTS)
             words = terms_of(text.as_buffer().to_pybytes())
             if not words:
                 continue
@@ -95,14 +90,13 @@ def _count(batches: Iterator[pa.RecordBatch], held_terms: int) -> Iterator[pa.Re
     yield from flush()
 
 
-def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``(lang, source, term, n, docs)`` added up per task, several rows of a term if it comes from several tasks.
+def _filled(docs: DataFrame, **columns: str) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in columns.items()])
 
-    Each group also has rows without a term, so that one without any term is seen.
-    """
-    narrow = docs.select(*[
-        F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
-        for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
+
+def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """``(lang, source, term, n, docs)`` added up per task, several rows of a term if it comes from several tasks."""
+    narrow = _filled(docs, lang=lang_col, source=source_col, text=text_col)
     return narrow.mapInArrow(partial(_count, held_terms=HELD_TERMS), COUNTS)
 
 
@@ -118,13 +112,13 @@ def _share(count, total, terms):
 F_SQL = "CAST((({0} - {1}) * ({0} - {1})) div ({0} + {1}) AS LONG)"
 
 
-def shares(counts: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Groups ``(lang, source, peers, v, terms, total, p0)`` and kept terms ``(lang, source, term, p, p0, q)``.
+def shares(groups: DataFrame, counts: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """From all groups ``(lang, source)`` and the counts: groups ``(lang, source, peers, v, terms, total, p0)`` and kept terms ``(lang, source, term, p, p0, q)``.
 
     ``peers`` is the number of groups of the language, ``v`` that of its kept terms, ``terms`` those of the group, ``q`` the
     language's share. One shuffle by (language, term) serves the sums of groups, of languages and the choice of terms.
     """
-    by_term = counts.filter("term IS NOT NULL").repartition("lang", "term")
+    by_term = counts.repartition("lang", "term")
     uses = by_term.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")
     kept = uses.withColumns(
@@ -134,7 +128,6 @@ def shares(counts: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Data
     langs = kept.groupBy("lang").agg(
         F.sum(F.col("first").cast("long")).alias("v"), F.sum("n").alias("lang_total"))
     sums = kept.groupBy("lang", "source").agg(F.count("*").alias("terms"), F.sum("n").alias("total"))
-    groups = counts.filter("term IS NULL").select("lang", "source").distinct()
     peers = groups.groupBy("lang").agg(F.count("*").alias("peers"))
     groups = groups.join(peers, "lang").join(langs, "lang", "left").join(sums, ["lang", "source"], "left")
     groups = groups.na.fill(0, ["v", "lang_total", "terms", "total"])
@@ -323,8 +316,8 @@ def audit(
     language with one source has no pairs, one without kept terms pairs of value 0. An empty table gives no rows.
     Other columns are not read, so their names don't matter.
     """
-    counts = cut(term_counts(docs, lang_col, source_col, text_col))
-    groups, every = shares(counts, min_docs)
+    groups = _filled(docs, lang=lang_col, source=source_col).distinct()
+    groups, every = shares(groups, term_counts(docs, lang_col, source_col, text_col), min_docs)
     every = cut(every)
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     pairs = against_baselines(groups, every).unionByName(common_terms(every))

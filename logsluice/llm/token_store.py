@@ -23,16 +23,18 @@ import sys
 import uuid
 import zlib
 from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logsluice.llm.common import cut, fresh_folder, small
+from logsluice.llm.common import cut, fresh_folder, pieces, small
 from logsluice.llm.words import mixed
 
 END_ID = 0
@@ -63,6 +65,7 @@ FOUND = "id long, shard long, row long, copies long"
 _SURE = r" \t\n\r"
 _OTHER = "\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff"
 _PIECES = re.compile(f"[{_SURE}{_OTHER}]*[^{_SURE}{_OTHER}]+(?:[{_OTHER}][{_SURE}{_OTHER}]*[^{_SURE}{_OTHER}]*)*|[{_SURE}{_OTHER}]+")
+_WHITE = re.compile(f"[{_SURE}{_OTHER}]")
 _BORDER = re.compile(f"[^{_SURE}{_OTHER}](?=[{_SURE}])")
 
 
@@ -87,7 +90,10 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
 
 
 class Encoder:
-    """Ids of texts; each piece is encoded by the tokenizer once and then remembered, up to a bound."""
+    """Ids of texts by a byte-level tokenizer; each piece is encoded once and then remembered, up to a bound.
+
+    New pieces are joined and encoded together. Their ids are told apart by the bytes that each id stands for.
+    """
 
     def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer  # here, as only tasks that encode need it
@@ -96,24 +102,67 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.cache: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """The ids as native 32-bit integers."""
-        return b"".join(self._segment(s) for s in segments(text)) if text else b""
-
-    def _segment(self, text: str) -> bytes:
-        parts = pieces_of(text)
-        known = self.cache
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            found = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            if len(known) + len(new) > CACHED_PIECES:
-                self.cache = known = {p: known[p] for p in set(parts) if p in known}
-            long = {p: i for p, i in zip(new, found) if len(p) > CACHED_CHARS}
-            known.update((p, i) for p, i in zip(new, found) if len(p) <= CACHED_CHARS)
-            if long:
-                return b"".join([long[p] if p in long else known[p] for p in parts])
-        return b"".join(map(known.__getitem__, parts))
+        vocabulary = self.tokenizer.get_vocab()
+        # A character of a token's name is a byte, but for added tokens, which are named by their text.
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for name, number in vocabulary.items():
+            self.bytes_of[number] = len(name)
+        for number, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.bytes_of[number] = len(token.content.encode())
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as native 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def settle() -> None:
+            known = self._learn(held)
+            for i, parts in held:
+                out[i].append(b"".join(map(known.__getitem__, parts)))
+
+        for i, text in enumerate(texts):
+            for segment in segments(text):
+                held.append((i, pieces_of(segment)))
+                size += len(segment)
+                if size > SEGMENT:
+                    settle()
+                    held, size = [], 0
+        settle()
+        return [b"".join(x) for x in out]
+
+    def _learn(self, held: list[tuple[int, list[str]]]) -> dict[str, bytes]:
+        """A map that holds all pieces of the texts."""
+        every = set().union(*(parts for _, parts in held))
+        new = [p for p in every if p not in self.cache]
+        if len(self.cache) + len(new) > CACHED_PIECES:
+            self.cache = {p: self.cache[p] for p in every if p in self.cache}
+        joint = [p for p in new if p[0] in " \t\n\r" and not _WHITE.match(p[-1])]
+        found = dict(zip(joint, self._joined(joint)))
+        alone = [p for p in new if p not in found]
+        found.update(zip(alone, (array("I", e.ids).tobytes() for e in self._encode(alone))))
+        long = {p: i for p, i in found.items() if len(p) > CACHED_CHARS}
+        self.cache.update((p, i) for p, i in found.items() if len(p) <= CACHED_CHARS)
+        return ChainMap(long, self.cache) if long else self.cache
+
+    def _joined(self, pieces: list[str], count: int = 2000) -> Iterator[bytes]:
+        """Ids of pieces that begin with white space and end without, so that no token spans a border."""
+        groups = [pieces[at:at + count] for at in range(0, len(pieces), count)]
+        for group, encoding in zip(groups, self._encode(["".join(g) for g in groups])):
+            ids = np.array(encoding.ids, np.uint32)
+            ends = np.cumsum([len(p.encode()) for p in group])
+            upto = np.cumsum(self.bytes_of[ids])
+            last = np.searchsorted(upto, ends) + 1
+            if last[-1] != len(ids) or (upto[last - 1] != ends).any():
+                raise ValueError("the tokenizer joins pieces or isn't a byte-level one")
+            raw = ids.tobytes()
+            at = 0
+            for end in (4 * last).tolist():
+                yield raw[at:end]
+                at = end
+
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
 
 def id_width(path: str) -> int:
@@ -145,18 +194,21 @@ def _write(
             pa.array([name] * size), pa.array(np.arange(size)), pa.array(places[:-1]), pa.array(np.diff(places))], schema=_PLACE)
 
     for batch in batches:
-        for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-            encoder = encoder or Encoder(path, special_as_text)
-            if out is None:
-                name, seq, keys, offsets = uuid.uuid4().hex, seq + 1, [], [0]
-                out = files.open_output_stream(f"{base}/{name}.ids", compression=None, buffer_size=1 << 20)
-            ids = np.concatenate([np.frombuffer(encoder.ids(text.as_py()), np.uint32), end])
-            out.write(ids.astype(f"<u{width}").tobytes())
-            keys.append(key)
-            offsets.append(offsets[-1] + len(ids))
-            if offsets[-1] >= shard_ids:
-                yield finish()
-                out = None
+        encoder = encoder or Encoder(path, special_as_text)
+        sizes = pc.binary_length(batch.column("text")).to_numpy()
+        for lo, hi in pieces(sizes, 4 * SEGMENT):
+            part = batch.slice(lo, hi - lo)
+            for key, raw in zip(part.column("id").to_pylist(), encoder.ids(part.column("text").to_pylist())):
+                if out is None:
+                    name, seq, keys, offsets = uuid.uuid4().hex, seq + 1, [], [0]
+                    out = files.open_output_stream(f"{base}/{name}.ids", compression=None, buffer_size=1 << 20)
+                ids = np.concatenate([np.frombuffer(raw, np.uint32), end])
+                out.write(ids.astype(f"<u{width}").tobytes())
+                keys.append(key)
+                offsets.append(offsets[-1] + len(ids))
+                if offsets[-1] >= shard_ids:
+                    yield finish()
+                    out = None
     if out is not None:
         yield finish()
 

@@ -99,9 +99,10 @@ def test_empty_and_no_kept_terms(spark):
 
 
 def test_counts_past_64_bits(spark):
-    counts = [("en", s, None, 0, 0) for s in "ab"] + [
+    counts = [
         ("en", "a", "the", 4 * 10 ** 12, 20), ("en", "b", "the", 10 ** 12, 10), ("en", "b", "of", 7 * 10 ** 12, 10)]
-    _, every = D.shares(spark.createDataFrame(counts, D.COUNTS))
+    counts = spark.createDataFrame(counts, D.COUNTS)
+    _, every = D.shares(counts.select("lang", "source").distinct(), counts)
     got = {(r["source"], r["term"]): (r["p"], r["q"]) for r in every.collect()}
     assert got["b", "of"] == (1 + 10 ** 9 * (7 * 10 ** 12 + 2) // (8 * 10 ** 12 + 4),
                               1 + 10 ** 9 * (7 * 10 ** 12 + 2) // (12 * 10 ** 12 + 4))

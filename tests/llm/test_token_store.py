@@ -42,9 +42,12 @@ def test_pieces_do_not_change_the_ids(tokenizer):
     for i in range(4000):
         text = "".join(rng.choice(WHITE if rng.random() < 0.5 else WORDS) for _ in range(rng.randrange(14)))
         assert "".join(T.pieces_of(text)) == text
-        assert np.frombuffer(encoder.ids(text), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
-    spelled = T.Encoder(tokenizer_file(), special_as_text=True).ids("<|endoftext|>")
-    assert len(spelled) > 4 and np.frombuffer(encoder.ids("<|endoftext|>"), np.uint32).tolist() == [50256]
+        both = encoder.ids([text, " " + text])
+        for t, raw in zip((text, " " + text), both):
+            assert np.frombuffer(raw, np.uint32).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    spelled = T.Encoder(tokenizer_file(), special_as_text=True).ids(["<|endoftext|>"])[0]
+    assert len(spelled) > 4 and np.frombuffer(encoder.ids(["<|endoftext|>"])[0], np.uint32).tolist() == [50256]
+    assert encoder.ids([]) == [] and encoder.ids(["", "a"])[0] == b""
 
 
 def test_long_texts_go_in_segments(tokenizer, monkeypatch):
@@ -52,9 +55,10 @@ def test_long_texts_go_in_segments(tokenizer, monkeypatch):
     text = "".join(rng.choice(WORDS) + rng.choice(WHITE) for _ in range(30_000))
     assert "".join(T.segments(text, 100)) == text and len(list(T.segments(text, 100))) > 300
     monkeypatch.setattr(T.segments, "__defaults__", (500,))
+    monkeypatch.setattr(T, "SEGMENT", 700)
     monkeypatch.setattr(T, "CACHED_PIECES", 50)
     encoder = T.Encoder(tokenizer_file())
-    assert np.frombuffer(encoder.ids(text), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.ids([text])[0], np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert len(encoder.cache) < 1000
     assert list(T.segments("x" * 1000, 10)) == ["x" * 1000]
 

@@ -23,9 +23,8 @@ import sys
 import uuid
 import zlib
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ SHARD_IDS = 1 << 24
 INDEX_KEYS = 1 << 20
 GAMMA = 2.0
 # Pieces of texts whose ids a task remembers, and the longest piece that is remembered.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 400_000
 CACHED_CHARS = 40
 # Characters that are encoded at a time.
 SEGMENT = 1 << 18
@@ -61,18 +60,24 @@ FOUND = "id long, shard long, row long, copies long"
 
 # --- encoding -------------------------------------------------------------------------------------------
 
-# White space that splits pieces for certain, and everything that some definition of white space may include.
+# White space that splits pieces for certain, and everything that some definition of white space may include; letters and
+# marks that all definitions agree on.
 _SURE = r" \t\n\r"
 _OTHER = "\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff"
-_PIECES = re.compile(f"[{_SURE}{_OTHER}]*[^{_SURE}{_OTHER}]+(?:[{_OTHER}][{_SURE}{_OTHER}]*[^{_SURE}{_OTHER}]*)*|[{_SURE}{_OTHER}]+")
-_WHITE = re.compile(f"[{_SURE}{_OTHER}]")
-_BORDER = re.compile(f"[^{_SURE}{_OTHER}](?=[{_SURE}])")
+_LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+_MARK = r"!-/:-@\[-`{-~"
+_ANY = _SURE + _OTHER
+_RUN_OF = f"(?:[^{_ANY}{_LETTER}]++|[{_LETTER}]++(?![{_MARK}]))*+[{_LETTER}]*+"
+_PIECES = re.compile(f"[{_ANY}]*+(?=[^{_ANY}]){_RUN_OF}(?:[{_OTHER}][{_ANY}]*+{_RUN_OF})*+|[{_ANY}]++")
+_WHITE = re.compile(f"[{_ANY}]")
+_BORDER = re.compile(f"[^{_ANY}](?=[{_SURE}])")
 
 
 def pieces_of(text: str) -> list[str]:
     """The text in pieces that a byte-level pair encoder treats apart.
 
-    Its pattern never joins a character with white space behind it, so a piece ends before a run of white space.
+    Its pattern never joins a character with white space behind it, nor a letter with a mark behind it, so a piece ends
+    before a run of white space and between a letter and a mark.
     """
     return _PIECES.findall(text)
 
@@ -102,13 +107,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.cache: dict[str, bytes] = {}
+        self.long: list[str] = []
         vocabulary = self.tokenizer.get_vocab()
         # A character of a token's name is a byte, but for added tokens, which are named by their text.
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for name, number in vocabulary.items():
             self.bytes_of[number] = len(name)
-        for number, token in self.tokenizer.get_added_tokens_decoder().items():
+        added = self.tokenizer.get_added_tokens_decoder()
+        for number, token in added.items():
+            if _WHITE.search(token.content) or token.lstrip or token.rstrip or token.single_word:
+                raise ValueError("added tokens that reach into white space or words can't be told apart from pieces")
             self.bytes_of[number] = len(token.content.encode())
+        names = [re.escape(t.content) for t in added.values() if not (t.special and special_as_text)]
+        self.added = re.compile(f"({'|'.join(sorted(names, key=len, reverse=True))})") if names else None
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers."""
@@ -120,10 +131,13 @@ class Encoder:
             known = self._learn(held)
             for i, parts in held:
                 out[i].append(b"".join(map(known.__getitem__, parts)))
+            for p in [p for p in self.long if p in known]:
+                del known[p]
+            self.long = []
 
         for i, text in enumerate(texts):
             for segment in segments(text):
-                held.append((i, pieces_of(segment)))
+                held.append((i, self._pieces(segment)))
                 size += len(segment)
                 if size > SEGMENT:
                     settle()
@@ -131,6 +145,12 @@ class Encoder:
         settle()
         return [b"".join(x) for x in out]
 
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces of the text between added tokens, and these."""
+        if self.added is None or not self.added.search(text):
+            return pieces_of(text)
+        return [p for j, part in enumerate(self.added.split(text)) for p in ([part] if j % 2 else pieces_of(part))]
+
     def _learn(self, held: list[tuple[int, list[str]]]) -> dict[str, bytes]:
         """A map that holds all pieces of the texts."""
         every = set().union(*(parts for _, parts in held))
@@ -141,9 +161,9 @@ class Encoder:
         found = dict(zip(joint, self._joined(joint)))
         alone = [p for p in new if p not in found]
         found.update(zip(alone, (array("I", e.ids).tobytes() for e in self._encode(alone))))
-        long = {p: i for p, i in found.items() if len(p) > CACHED_CHARS}
-        self.cache.update((p, i) for p, i in found.items() if len(p) <= CACHED_CHARS)
-        return ChainMap(long, self.cache) if long else self.cache
+        self.long = [p for p in alone if len(p) > CACHED_CHARS] + [p for p in joint if len(p) > CACHED_CHARS]
+        self.cache.update(found)
+        return self.cache
 
     def _joined(self, pieces: list[str], count: int = 2000) -> Iterator[bytes]:
         """Ids of pieces that begin with white space and end without, so that no token spans a border."""
@@ -165,6 +185,12 @@ class Encoder:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, special_as_text: bool) -> Encoder:
+    """One encoder per Python worker: its memory serves the worker's later tasks."""
+    return Encoder(path, special_as_text)
+
+
 def id_width(path: str) -> int:
     """Bytes per id: two if the vocabulary fits, else four."""
     from tokenizers import Tokenizer
@@ -194,7 +220,7 @@ def _write(
             pa.array([name] * size), pa.array(np.arange(size)), pa.array(places[:-1]), pa.array(np.diff(places))], schema=_PLACE)
 
     for batch in batches:
-        encoder = encoder or Encoder(path, special_as_text)
+        encoder = encoder or encoder_of(path, special_as_text)
         sizes = pc.binary_length(batch.column("text")).to_numpy()
         for lo, hi in pieces(sizes, 4 * SEGMENT):
             part = batch.slice(lo, hi - lo)

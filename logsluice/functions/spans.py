@@ -47,8 +47,24 @@ class Detector:
 _OPEN, _GROUP, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
+# No match, an empty one in particular, may start between the halves of a surrogate pair.
+_WHOLE_START = "(?![\uDC00-\uDFFF])"
+
+
 def detect_sql(text: str, detector: Detector, order: int) -> str:
-    """SQL for the spans of one detector in an expression.
+    """SQL for the spans of one detector in an expression, see :func:`spans_sql`."""
+    pattern = sql_text(f"{_WHOLE_START}(?:{detector.pattern})")
+    gate = f"{text} RLIKE {pattern}"
+    if detector.gate is not None:
+        cheap = sql_text(detector.gate)
+        gate = (f"contains({text}, {cheap})" if detector.gate_is_literal else f"{text} RLIKE {cheap}") + f" AND {gate}"
+    return spans_sql(text, pattern, gate, str(order), sql_text(detector.name), f"{detector.score}D", detector.in_context)
+
+
+def spans_sql(
+    text: str, pattern: str, gate: str, order: str, type_: str, score: str, in_context: bool = False,
+) -> str:
+    """SQL for the spans of a pattern; all arguments are SQL, so they may differ from row to row.
 
     One replacement marks every match where it stands, a split takes matches and gaps apart, and running
     totals of their lengths give the offsets.
@@ -56,28 +72,22 @@ def detect_sql(text: str, detector: Detector, order: int) -> str:
     Matches, empty ones too, are those of a single run of the pattern over the whole text, so anchors
     and lookarounds see what they should. Marks that a text already holds count as U+FFFD.
     """
-    # No match, an empty one in particular, may start between the halves of a surrogate pair.
-    pattern = sql_text(rf"(?![\uDC00-\uDFFF])(?:{detector.pattern})")
-    gate = f"{text} RLIKE {pattern}"
-    if detector.gate is not None:
-        cheap = sql_text(detector.gate)
-        gate = (f"contains({text}, {cheap})" if detector.gate_is_literal else f"{text} RLIKE {cheap}") + f" AND {gate}"
     clean = (
         f"CASE WHEN {text} RLIKE '[{_OPEN}{_GROUP}{_CLOSE}]' "
         f"THEN translate({text}, '{_OPEN}{_GROUP}{_CLOSE}', '\ufffd\ufffd\ufffd') ELSE {text} END")
-    groups = f"$1{_GROUP}$2{_GROUP}$0" if detector.in_context else "$0"
+    groups = f"$1{_GROUP}$2{_GROUP}$0" if in_context else "$0"
     marked = f"regexp_replace({clean}, {pattern}, '{_OPEN}{groups}{_CLOSE}')"
     part = (lambda i: f"substring_index(substring_index(m, '{_GROUP}', {i + 1}), '{_GROUP}', -1)")
-    rest = part(2) if detector.in_context else "m"
+    rest = part(2) if in_context else "m"
     whole = f"substring_index({rest}, '{_CLOSE}', 1)"
-    lead, value = (f"length({part(0)})", part(1)) if detector.in_context else ("0", whole)
+    lead, value = (f"length({part(0)})", part(1)) if in_context else ("0", whole)
     hits = (
         f"transform(slice(pieces, 2, size(pieces) - 1), m -> named_struct('lead', {lead}, 'text', {value}, "
         f"'whole', length({whole}), 'both', length({rest}) - 1))")
     begin = "length(pieces[0]) + ends[n] - h.both + h.lead"
     span = (
         f"named_struct('start', {begin}, 'end', {begin} + length(h.text), 'ord', {order}, "
-        f"'type', {sql_text(detector.name)}, 'text', h.text, 'score', {detector.score}D)")
+        f"'type', {type_}, 'text', h.text, 'score', {score})")
     return f"""CASE WHEN {gate} THEN
         transform(array(split({marked}, '{_OPEN}')), pieces ->
           transform(array({hits}), hits ->
@@ -86,6 +96,12 @@ def detect_sql(text: str, detector: Detector, order: int) -> str:
         ELSE CAST(array() AS {SPANS_TYPE}) END"""
 
 
+def detect_by(text: str, pattern: str, order: str, type_: str, score: str) -> Column:
+    """Spans of a pattern that is itself a column, as are its order, type and score."""
+    whole = f"concat({sql_text(_WHOLE_START + '(?:')}, `{pattern}`, ')')"
+    return F.expr(spans_sql(f"`{text}`", whole, f"`{text}` RLIKE {whole}", f"`{order}`", f"`{type_}`", f"`{score}`"))
+
+
 def detect(text: str, detector: Detector, order: int = 0) -> Column:
     """All spans of one detector in the named column.
 

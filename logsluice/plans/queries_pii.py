@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logsluice.functions import patterns as P
 from logsluice.functions import spans as S
 from logsluice.functions.rows import each
-from logsluice.operators import pii, redaction
+from logsluice.operators import pattern_table, pii, redaction
 from logsluice.operators.detectors import (
     DETECTORS, canonical_type, custom_detectors, select_detectors,
 )
 from logsluice.plans import oracle_text as O
 from logsluice.plans.registry import query
+from logsluice.sources import rendered as R
 from logsluice.sources.rendered import customer_contacts, customer_notes
 from logsluice.sources.tables import table
 
@@ -469,3 +470,16 @@ def pii_eval(spark, folder):
     found = pii.span_table(docs, ["doc_id"], "text", _detectors([EMAIL, IP]))
     tagged = pii.span_table(docs, ["doc_id"], "text", [S.Detector(EMAIL, _NARROW, "@")])
     return pii.evaluate(found, tagged, ["doc_id", "start", "end", "type"])
+
+
+@query("pii_pattern_table", f"""
+SELECT event_id, 'USER_' || user_id AS type, CAST(strpos(line, 'user=') - 1 AS INTEGER) AS start,
+  CAST(strpos(line, 'user=') + 4 + length(login) AS INTEGER) AS "end", 'user=' || login AS text
+FROM (SELECT *, 'ts=' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' user=' || login AS line FROM ({O.EVENTS}))""")
+def pii_pattern_table(spark, folder):
+    """A pattern per user, as many as the table has users, against all lines."""
+    events = R.typed_events(spark, folder)
+    patterns = events.select(
+        F.concat(F.lit("user_"), "user_id").alias("name"), F.concat(F.lit("user="), "login", F.lit(r"\b")).alias("regex")).distinct()
+    lines = events.select("event_id", R.kv_line().alias("raw"))
+    return pattern_table.find_spans(lines, ["event_id"], "raw", patterns).select("event_id", "type", "start", "end", "text")

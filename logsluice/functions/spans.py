@@ -48,7 +48,7 @@ _OPEN, _GROUP, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
 # No match, an empty one in particular, may start between the halves of a surrogate pair.
-_WHOLE_START = "(?![\uDC00-\uDFFF])"
+_WHOLE_START = r"(?![\uDC00-\uDFFF])"
 
 
 def detect_sql(text: str, detector: Detector, order: int) -> str:

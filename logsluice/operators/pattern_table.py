@@ -14,7 +14,7 @@ from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from logsluice.functions import spans as S
 from logsluice.functions.regexlang import split_named_groups
@@ -29,7 +29,9 @@ MIN_LITERAL = 3
 MAX_LITERALS = 64
 
 CUSTOM_SCORE = 0.9
-_LIST = "array<struct<ord:int,type:string,pattern:string,score:double>>"
+_LIST = ArrayType(StructType([
+    StructField("ord", IntegerType()), StructField("type", StringType()), StructField("pattern", StringType()),
+    StructField("score", DoubleType())]))
 
 
 # --- literals of a pattern --------------------------------------------------------------------------------

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logsluice.functions import patterns as P
 from logsluice.functions import spans as S
-from logsluice.functions.regexlang import escape_literal, escape_replacement, split_named_groups
+from logsluice.functions.regexlang import _TOKEN, escape_literal, escape_replacement, split_named_groups
+from logsluice.functions.rows import bind
 from logsluice.functions.spans import Detector
 from logsluice.operators.detectors import (
     CANONICAL_TYPES, DETECTORS, canonical_type, value_pattern_key,
@@ -54,6 +55,112 @@ def redact_patterns(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
     return reduce(lambda acc, rule: F.regexp_replace(acc, rule[0], replacement(rule)), rules, text)
 
 
+def fused_groups(rules: Sequence[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    """Rules that can share a scan, in order: as many as stand beside each other.
+
+    A rule that refers back to a group, whose number a shared pattern would change, or that may match nothing is on its own.
+    """
+    groups: list[list[tuple[str, str]]] = []
+    alone = True
+    for rule in rules:
+        own = not _fusible(rule[0])
+        if own or alone:
+            groups.append([])
+        groups[-1].append(rule)
+        alone = own
+    return groups
+
+
+def _fusible(pattern: str) -> bool:
+    bare = re.sub(r"\\Q.*?(?:\\E|$)|\\\\", "", pattern, flags=re.DOTALL)
+    if re.search(r"\\(?:[1-9]|k<|G)", bare) or "\\Q" in pattern:
+        return False
+    try:
+        return re.match(pattern.replace(LEAD, "(?P<lead>"), "") is None
+    except re.error:  # Java's own syntax, in which nothing tells whether it matches empty text
+        return False
+
+
+def _branch(pattern: str) -> tuple[str, bool]:
+    """The pattern with one group around it, and one around what leads to the value if there is that."""
+    has_lead = LEAD in pattern
+    held = pattern.replace(LEAD, "(?<lead>", 1)
+
+    def plain(token: re.Match) -> str:
+        if token["skip"] is not None or token["special"] is not None:
+            return token[0]
+        return "(" if token["name"] == "lead" else "(?:"
+
+    return f"({_TOKEN.sub(plain, held)})", has_lead
+
+
+def any_gate(text: Column, detectors: Sequence[Detector]) -> Column:
+    """Whether some detector may match: literal gates first, then all others in one short pattern."""
+    gates = [(d.gate or d.pattern, d.gate is not None and d.gate_is_literal) for d in detectors]
+    shown = [text.contains(g) for g in dict.fromkeys(g for g, literal in gates if literal)]
+    patterns = list(dict.fromkeys(g for g, literal in gates if not literal))
+    if patterns:
+        shown.append(text.rlike("|".join(f"(?:{p})" for p in patterns)))
+    return reduce(lambda a, b: a | b, shown, F.lit(False))
+
+
+def redact_detectors(text: Column, names: Sequence[str]) -> Column:
+    """All named detectors in one scan, of texts only that pass one of their gates."""
+    chosen = [n for n in names if n in DETECTORS]
+    redacted = redact_once(text, detector_rules(chosen))
+    return F.when(any_gate(text, [DETECTORS[n] for n in chosen]), redacted).otherwise(text)
+
+
+def redact_once(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """Replace all matches of all ``(pattern, label)`` rules in one scan.
+
+    The patterns are branches of one pattern with numbered groups. The scan marks each match and what its groups hold;
+    the first branch that holds something gives the label. The leftmost match counts, of those that begin at one place
+    the earlier rule; a text or label that one rule has put in is not seen by the others. Where matches of
+    different rules don't touch, the result is that of :func:`redact_patterns`. Marks that a text already holds count as
+    U+FFFD. NULL stays NULL.
+    """
+    def scanned(acc: Column, group: list[tuple[str, str]]) -> Column:
+        if len(group) == 1:
+            return F.regexp_replace(acc, group[0][0], replacement(group[0]))
+        return bind(acc, lambda t: _scan(t, group))
+
+    return reduce(scanned, fused_groups(list(rules)), text)
+
+
+def _scan(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    branches, marks, places = [], "", []
+    number = 1
+    for pattern, label in rules:
+        branch, has_lead = _branch(pattern)
+        branches.append(branch)
+        marks += f"{S._GROUP}${number}" + (f"{S._GROUP}${number + 1}" if has_lead else "")
+        places.append((label, has_lead))
+        number += 1 + has_lead
+    own = f"[{S._OPEN}{S._GROUP}{S._CLOSE}]"
+    clean = F.when(text.rlike(own), F.regexp_replace(text, own, "\ufffd")).otherwise(text)
+    marked = F.regexp_replace(clean, "|".join(branches), f"{S._OPEN}{marks}{S._CLOSE}")
+
+    def hit(piece: Column) -> Column:
+        def shown(held: Column) -> Column:
+            found, at = F.lit(""), 1
+            cases = []
+            for label, has_lead in places:
+                cases.append((F.get(held, F.lit(at)) != "", F.concat(F.get(held, F.lit(at + 1)), F.lit(label)) if has_lead else F.lit(label)))
+                at += 1 + has_lead
+            for test, value in reversed(cases):
+                found = F.when(test, value).otherwise(found)
+            return F.concat(found, F.substring_index(piece, S._CLOSE, -1))
+
+        return bind(F.split(F.substring_index(piece, S._CLOSE, 1), S._GROUP), shown)
+
+    def joined(pieces: Column) -> Column:
+        rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), hit)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+
+    return bind(marked, lambda m: F.when(m.contains(S._OPEN), bind(F.split(m, S._OPEN), joined)).otherwise(m))
+
+
 def detector_rules(names: Sequence[str]) -> list[tuple[str, str]]:
     """Pattern rules of detectors: their redaction pattern, else the pattern they search with.
 

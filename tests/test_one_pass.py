@@ -24,7 +24,7 @@ def test_all_detectors(spark):
     rules = redaction.detector_rules(list(DETECTORS))
     assert len(rules) == 15 and len(redaction.fused_groups(rules)) <= 3
     got = both(spark, texts, rules)
-    assert all(a == b for _, a, b in got) and sum(t != a for t, a, _ in got) > 250
+    assert all(a == b for _, a, b in got) and sum(t != a for t, a, _ in got) > 200
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     gated = df.select("t", redaction.redact_detectors(F.col("t"), list(DETECTORS)).alias("g")).collect()
     assert {r["t"]: r["g"] for r in gated} == {t: a for t, a, _ in got}

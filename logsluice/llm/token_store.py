@@ -43,7 +43,7 @@ SHARD_IDS = 1 << 24
 INDEX_KEYS = 1 << 20
 GAMMA = 2.0
 # Pieces of texts whose ids a task remembers, and the longest piece that is remembered.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
 CACHED_CHARS = 40
 # Characters that are encoded at a time.
 SEGMENT = 1 << 18
@@ -68,7 +68,9 @@ _LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 _MARK = r"!-/:-@\[-`{-~"
 _ANY = _SURE + _OTHER
 _RUN_OF = f"(?:[^{_ANY}{_LETTER}]++|[{_LETTER}]++(?![{_MARK}]))*+[{_LETTER}]*+"
-_PIECES = re.compile(f"[{_ANY}]*+(?=[^{_ANY}]){_RUN_OF}(?:[{_OTHER}][{_ANY}]*+{_RUN_OF})*+|[{_ANY}]++")
+# Most pieces are a word with or without a blank in front; the general form comes second.
+_WORD = f"[{_SURE}]?[{_LETTER}]++(?=[{_SURE}{_MARK}])"
+_PIECES = re.compile(f"{_WORD}|[{_ANY}]*+(?=[^{_ANY}]){_RUN_OF}(?:[{_OTHER}][{_ANY}]*+{_RUN_OF})*+|[{_ANY}]++")
 _WHITE = re.compile(f"[{_ANY}]")
 _BORDER = re.compile(f"[^{_ANY}](?=[{_SURE}])")
 
@@ -157,7 +159,7 @@ class Encoder:
         new = [p for p in every if p not in self.cache]
         if len(self.cache) + len(new) > CACHED_PIECES:
             self.cache = {p: self.cache[p] for p in every if p in self.cache}
-        joint = [p for p in new if p[0] in " \t\n\r" and not _WHITE.match(p[-1])]
+        joint = [p for p in new if p[0] in " \t\n\r" and (p[-1].isalnum() or not _WHITE.match(p[-1]))]
         found = dict(zip(joint, self._joined(joint)))
         alone = [p for p in new if p not in found]
         found.update(zip(alone, (array("I", e.ids).tobytes() for e in self._encode(alone))))
@@ -170,7 +172,7 @@ class Encoder:
         groups = [pieces[at:at + count] for at in range(0, len(pieces), count)]
         for group, encoding in zip(groups, self._encode(["".join(g) for g in groups])):
             ids = np.array(encoding.ids, np.uint32)
-            ends = np.cumsum([len(p.encode()) for p in group])
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in group])
             upto = np.cumsum(self.bytes_of[ids])
             last = np.searchsorted(upto, ends) + 1
             if last[-1] != len(ids) or (upto[last - 1] != ends).any():

@@ -9,7 +9,7 @@ from logsluice.functions import patterns as P
 from logsluice.functions import timeparse as T
 from logsluice.functions import typing as Y
 from logsluice.functions.rows import each
-from logsluice.operators import fields
+from logsluice.operators import fields, sketches
 from logsluice.plans import oracle_text as O
 from logsluice.plans.registry import query
 from logsluice.sources import rendered as R
@@ -299,3 +299,19 @@ def field_drift(spark, folder):
         R.typed_events(spark, folder), [F.col("event_type").alias("sourcetype"), "ts"], X.kv_pairs(line), "p")
     news = fields.drift(pairs.select("sourcetype", "ts", F.col("p.name").alias("name")))
     return news.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("hour", "previous_hour")})
+
+
+@query("field_sketches", f"""
+WITH r AS (SELECT event_type AS sourcetype, unnest(['k', 'host']) AS name, unnest([CAST(k AS VARCHAR), host]) AS value FROM ({O.EVENTS})),
+counts AS (SELECT sourcetype, name, value, count(*) AS n FROM r GROUP BY ALL)
+SELECT sourcetype, name, value, n, count(*) OVER (PARTITION BY sourcetype, name) AS distinct_values,
+  CAST(sum(n) OVER (PARTITION BY sourcetype, name) AS BIGINT) AS records,
+  max(TRY_CAST(value AS DOUBLE)) OVER (PARTITION BY sourcetype, name) AS largest FROM counts""")
+def field_sketches(spark, folder):
+    """Sketches per hour, merged; the fields have few values, for which the sketches are exact."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in ("k", "host")])
+    records = R.typed_events(spark, folder).select(F.col("event_type").alias("sourcetype"), "ts", F.explode(pairs).alias("p"))
+    found = sketches.estimates(sketches.merge(sketches.sketch(records.select("sourcetype", "ts", "p.*"))), top=1000)
+    return found.select(
+        "sourcetype", "name", F.explode("top").alias("t"), "distinct_values", "records", F.get("quantiles", F.lit(3)).alias("largest")).select(
+        "sourcetype", "name", F.col("t.item").alias("value"), F.col("t.count").alias("n"), "distinct_values", "records", "largest")

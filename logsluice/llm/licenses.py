@@ -2,10 +2,11 @@
 
 Every text is a sequence of words, and so is every template. All rolling k-grams of a text are joined, by
 hash, to the places of the templates that hold the same k-gram. A hit at word ``p`` of the text and word ``q`` of the
-template votes for the diagonal ``p - q``: an unchanged copy puts all its votes on one diagonal, inserted or
-missing words move the rest to a neighbouring one. Votes are summed per diagonal, diagonals within ``BAND`` are
-merged, and a merged span counts if enough of the template voted and the span is not much longer than it.
-Short phrases are verified word by word.
+template votes for the diagonal ``p - q``: an unchanged copy puts all its votes on one diagonal and is accepted on
+its own, however close the next copy stands. Inserted or missing words move the rest of a copy to neighbouring
+diagonals. A copy with ``e`` such edits has all its diagonals within ``e + 1`` places of each other, so broken
+diagonals are merged in windows of that width and no wider. A merged span counts if enough different places of the
+template voted, and if its words are the template's but for one edit in ``WORDS_PER_EDIT``, word by word.
 
 DataFrame expressions only. The templates are fixed values, so their table (one row per k-gram) may be
 broadcast. A sentinel k-gram in front of each text joins a sentinel template, so texts without any hit
@@ -14,14 +15,13 @@ stay in the stream and nothing is joined back. Only hits and sentinels are shuff
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logsluice.llm.common import ASCII_LOWER, ASCII_UPPER
 
 K = 3
-BAND = 3
 COVERAGE = 0.8
-LONGEST = 1.5
+WORDS_PER_EDIT = 5
 SENTINEL = 0
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -42,6 +42,8 @@ TEMPLATES = (
     ("cc-by-nc", "creative commons attribution noncommercial"),
     ("cc-by-sa", "creative commons attribution sharealike"),
     ("epl", "eclipse public license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public "
+            "license"),
     ("gpl", "gnu general public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
             "hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
@@ -51,7 +53,11 @@ TEMPLATES = (
             "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
             "of the software and to permit persons to whom the software is furnished to do so"),
     ("mpl", "mozilla public license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl "
+            "was not distributed with this file you can obtain one at"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications "
+             "and to alter it and redistribute it freely"),
 )
 
 
@@ -87,7 +93,7 @@ def template_grams(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)``.
 
-    ``spans`` lists what was found: label, first word, one past the last, share of the template. NULL or
+    ``spans`` lists what was found: label, first word, one past the last, share of the template's places that voted. NULL or
     empty texts have no words and no labels; repeated rows are answered each. An empty table gives no
     rows. Other columns are not read.
     """
@@ -100,31 +106,36 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # not copied for each of its k-grams. The outer form, or the optimizer would add a filter on the size of
     # the array and evaluate it twice.
     places = texts.withColumn("grams", grams).select("row", "id", "words", F.posexplode_outer("grams").alias("place", "hash"))
-    hits = places.join(F.broadcast(template_grams(docs.sparkSession)), "hash").withColumn(
-        "diagonal", F.col("place") - 1 - F.col("q"))
-    begin = F.greatest(F.col("diagonal"), F.lit(0)) + 1
+    hits = places.join(F.broadcast(template_grams(docs.sparkSession)), "hash").withColumn("parts", F.split("body", " "))
+    # Equal hashes are confirmed by their words; the sentinel has no template.
+    hits = hits.filter(F.col("template").isNull() | (
+        F.slice("words", F.greatest("place", F.lit(1)), K) == F.slice("parts", F.col("q") + 1, K)))
     hits = hits.select(
-        "row", "id", F.size("words").alias("n_words"), "template", "label", "base", "size", "q", "diagonal",
-        ((F.col("diagonal") >= 0) & (F.col("q") == 0) & (
-            F.array_join(F.slice("words", begin, F.coalesce("size", F.lit(0))), " ") == F.col("body"))).alias("exact"))
-    votes = hits.repartition("row").groupBy(
-        "row", "id", "n_words", "template", "label", "base", "size", "diagonal").agg(
-        F.count("*").alias("votes"), F.bool_or("exact").alias("exact"), F.min("q").alias("q_min"),
-        F.max("q").alias("q_max"))
-    per_template = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(per_template) > BAND).cast("int"), F.lit(0))
-    runs = votes.withColumn("apart", F.when(F.col("base"), 1).otherwise(apart)).withColumn(
-        "run", F.sum("apart").over(per_template))
-    spans = runs.groupBy("row", "id", "n_words", "template", "label", "base", "size", "run").agg(
-        F.sum("votes").alias("votes"), F.bool_or("exact").alias("exact"),
-        F.min(F.col("diagonal") + F.col("q_min")).alias("start"),
-        (F.max(F.col("diagonal") + F.col("q_max")) + K).alias("end"))
-    share = F.least(F.lit(1.0), F.col("votes") / (F.col("size") - K + 1))
-    close = (share >= COVERAGE) & (F.col("end") - F.col("start") <= LONGEST * F.col("size"))
-    spans = spans.withColumn("share", share).withColumn(
-        "found", F.coalesce(F.when(F.col("base"), F.col("exact")).otherwise(close), F.lit(False)))
+        "row", "id", F.size("words").alias("n_words"), "template", "label", "base", "size", "body", "q",
+        (F.col("place") - 1 - F.col("q")).alias("diagonal"))
+    document = ["row", "id", "n_words"]
+    template = ["template", "label", "base", "size", "body"]
+    lines = hits.repartition("row").groupBy(*document, *template, "diagonal").agg(F.collect_set("q").alias("qs"))
+    whole = F.coalesce(F.size("qs") == F.col("size") - K + 1, F.lit(False))
+    edits = F.floor(F.col("size") / WORDS_PER_EDIT)
+    lines = lines.withColumn("whole", whole).withColumn("slot", F.floor(F.col("diagonal") / (edits + 1)))
+    lines = lines.filter(F.col("template").isNull() | F.col("whole") | (~F.col("base") & (edits > 0)))
+    # A broken diagonal lies in two windows, each twice as wide as a copy's diagonals can be.
+    slots = F.when(F.col("whole") | F.col("template").isNull(), F.array("diagonal")).otherwise(
+        F.array(F.col("slot"), F.col("slot") - 1))
+    windows = lines.withColumn("window", F.explode_outer(slots)).groupBy(*document, *template, "whole", "window").agg(
+        F.collect_list(F.struct("diagonal", "slot", "qs")).alias("lines"))
+    spans = windows.withColumn(
+        "start", F.array_min(F.transform("lines", lambda x: x["diagonal"] + F.array_min(x["qs"])))).withColumn(
+        "end", F.array_max(F.transform("lines", lambda x: x["diagonal"] + F.array_max(x["qs"]))) + K).withColumn(
+        "share", F.size(F.array_distinct(F.flatten("lines.qs"))) / (F.col("size") - K + 1))
+    # The window that begins with a copy's first diagonal answers for the copy.
+    own = F.array_min("lines.slot") == F.col("window")
+    found = F.when(F.col("template").isNull(), False).when(F.col("whole"), True).when(
+        own & (F.col("share") >= COVERAGE), _distance() * WORDS_PER_EDIT <= F.col("size")).otherwise(False)
+    spans = spans.withColumn("found", found)
     base = F.col("base") & F.col("found")
-    out = spans.groupBy("row", "id", "n_words").agg(
+    out = spans.groupBy(*document).agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"),
         F.max(F.when(base, F.col("start"))).alias("last_word"),
         F.array_sort(F.collect_set(F.when(base, F.col("label")))).alias("base_labels"),
@@ -133,3 +144,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.array_sort(F.collect_list(F.when(F.col("found"), F.struct(
             F.col("start").alias("start"), F.col("end").alias("end"), "label", "share")))).alias("spans"))
     return out.drop("row")
+
+
+def _distance() -> Column:
+    """Edit distance in words between the template and the merged span.
+
+    Each different word of the template is one character; words that no hit covers are blanks, which no template holds.
+    """
+    parts = F.split("body", " ")
+
+    def sign(word: Column) -> Column:
+        return F.char(F.lit(32) + F.array_position(parts, word))
+
+    covered = F.flatten(F.flatten(F.transform("lines", lambda line: F.transform(line["qs"], lambda q: F.transform(
+        F.sequence(F.lit(0), F.lit(K - 1)), lambda i: F.struct(
+            (line["diagonal"] + q + i).alias("at"), sign(F.get(parts, q + i)).alias("sign")))))))
+    signs = F.map_from_entries(F.array_distinct(covered))
+    span = F.transform(F.sequence("start", F.col("end") - 1), lambda at: F.coalesce(F.try_element_at(signs, at), F.lit(" ")))
+    return F.levenshtein(F.array_join(span, ""), F.array_join(F.transform(parts, sign), ""))

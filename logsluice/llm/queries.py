@@ -138,24 +138,24 @@ grams AS (
 places AS (
   SELECT r, w, i, array_to_string(w[i + 1 : i + {licenses.K}], ' ') AS t
   FROM (SELECT r, w, unnest(range(0, len(w) - {licenses.K - 1})) AS i FROM docs)),
-hits AS (
-  SELECT r, template, label, base, size, q, i - q AS diagonal,
-    i >= q AND q = 0 AND array_to_string(w[i + 1 : i + size], ' ') = body AS exact
-  FROM places JOIN grams USING (t)),
-votes AS (
-  SELECT r, template, label, base, size, diagonal, count(*) AS votes, bool_or(exact) AS exact, min(q) AS q_min, max(q) AS q_max
-  FROM hits GROUP BY ALL),
-apart AS (
-  SELECT *, CASE WHEN base THEN 1 WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal)
-    > {licenses.BAND} THEN 1 ELSE 0 END AS apart FROM votes),
-runs AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM apart),
-spans AS (
-  SELECT r, template, label, base, size, run, least(1.0, sum(votes) / (size - {licenses.K - 1})) AS share, bool_or(exact) AS exact,
-    min(diagonal + q_min) AS first, max(diagonal + q_max) + {licenses.K} AS last
-  FROM runs GROUP BY r, template, label, base, size, run),
+hits AS (SELECT r, template, label, base, size, q, i, i - q AS d, size // {licenses.WORDS_PER_EDIT} AS e FROM places JOIN grams USING (t)),
+lines AS (SELECT r, template, d, count(*) = any_value(size) - {licenses.K - 1} AS whole FROM hits GROUP BY r, template, d),
+placed AS (SELECT *, CAST(floor(d / (e + 1)) AS BIGINT) AS slot FROM hits JOIN lines USING (r, template, d)),
+near AS (
+  SELECT r, template, label, size, slot - later AS win, count(DISTINCT q) / (size - {licenses.K - 1}) AS share,
+    min(i) AS first, max(i) + {licenses.K} AS last, list(DISTINCT i) AS starts, min(slot) AS lowest
+  FROM placed, (VALUES (0), (1)) AS t(later) WHERE NOT whole AND NOT base AND e > 0
+  GROUP BY r, template, label, size, slot - later),
+signed AS (
+  SELECT near.*, array_to_string(list_transform(p, lambda x: chr(CAST(32 + list_position(p, x) AS INTEGER))), '') AS expected,
+    array_to_string(list_transform(range(first, last), lambda x: CASE WHEN list_has_any(starts, range(x - {licenses.K - 1}, x + 1))
+      THEN chr(CAST(32 + list_position(p, w[x + 1]) AS INTEGER)) ELSE ' ' END), '') AS stands
+  FROM near JOIN docs USING (r) JOIN (SELECT template, p FROM templates) USING (template)
+  WHERE lowest = win AND share >= {licenses.COVERAGE}),
 found AS (
-  SELECT * FROM spans WHERE CASE WHEN base THEN exact
-    ELSE share >= {licenses.COVERAGE} AND last - first <= {licenses.LONGEST} * size END),
+  SELECT r, label, base, d AS first, 1.0 AS share FROM placed WHERE whole AND q = 0
+  UNION ALL SELECT r, label, false, first, share FROM signed
+  WHERE levenshtein(stands, expected) * {licenses.WORDS_PER_EDIT} <= size),
 summed AS (
   SELECT r, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
     array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels,

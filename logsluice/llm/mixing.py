@@ -26,8 +26,6 @@ _UNIFORM_BITS = 52
 _TAIL_TERMS = 60
 # The largest mean of one draw.
 DRAW_RATE = 64.0
-# The bound in OP1_SQL, which the given tables don't reach; the operator has none.
-MAX_RATE = 64.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -93,7 +91,7 @@ def mix(
     NULL among them, share ``rest``. A source without characters has rate 0, so its documents leave; so
     do those of a source with weight 0. With ``max_rate`` no source is repeated more
     often than that on average, and then misses its share. Rows that repeat an id get the
-    same number of copies each; NULL ids count as one id. An empty table gives an empty mixture. Columns named like those added
+    same number of copies each; rows without an id are told apart by their texts. An empty table gives an empty mixture. Columns named like those added
     are replaced.
     """
     rates = F.broadcast(source_rates(docs, weights, rest, size, source_col, text_col, max_rate).withColumn(
@@ -102,7 +100,9 @@ def mix(
     kept = [c for c in docs.columns if c not in ("mix_rate", "mix_copy", "mix_order")]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), _bucket(weights, source_col).alias("doc_bucket"),
-        F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"))
+        F.coalesce(F.col(id_col).cast("string"), F.concat(
+            F.lit("text "), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))).alias("key"),
+        F.monotonically_increasing_id().alias("place"))
     rows = rows.join(rates, F.col("doc_bucket").eqNullSafe(F.col("bucket"))).withColumn(
         "u", uniform(F.lit(seed), F.col("key"), F.lit("count")))
 
@@ -112,8 +112,10 @@ def mix(
     more = F.aggregate(F.sequence(F.lit(1), F.col("draws") - 1), draw(F.col("u")), lambda total, i: total + draw(
         uniform(F.lit(seed), F.col("key"), F.lit("count"), i.cast("string"))))
     drawn = rows.withColumn("copies", F.when(F.col("draws") > 1, more).otherwise(draw(F.col("u")))).filter("copies > 0")
-    out = drawn.select("doc", "key", "rate", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    out = drawn.select("doc", "key", "place", "rate", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     out = out.select(
-        "doc.*", F.col("rate").alias("mix_rate"), F.col("copy").alias("mix_copy"),
+        "doc", "place", F.col("rate").alias("mix_rate"), F.col("copy").alias("mix_copy"),
         F.md5(F.concat_ws("/", F.lit(seed), "key", F.col("copy").cast("string"))).alias("mix_order"))
-    return out.repartitionByRange("mix_order").sortWithinPartitions("mix_order")
+    # Rows that repeat an id share an order; their places split them over tasks.
+    out = out.repartitionByRange("mix_order", "place").sortWithinPartitions("mix_order", "place")
+    return out.select("doc.*", "mix_rate", "mix_copy", "mix_order")

@@ -38,20 +38,24 @@ _SHARES = " ".join(f"WHEN '{s}' THEN {w / (sum(MIX_WEIGHTS.values()) + MIX_REST)
 _NAMED = ", ".join(f"'{s}'" for s in MIX_WEIGHTS)
 OP1_SQL = f"""
 WITH docs AS (
-  SELECT *, CASE WHEN source IN ({_NAMED}) THEN source ELSE '' END AS bucket,
-    coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents),
+  SELECT *, row_number() OVER () AS r, CASE WHEN source IN ({_NAMED}) THEN source ELSE '' END AS bucket,
+    coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) AS key FROM documents),
 totals AS (SELECT bucket, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS chars FROM docs GROUP BY bucket),
 rates AS (
-  SELECT bucket, least(CASE bucket {_SHARES} ELSE {MIX_REST / (sum(MIX_WEIGHTS.values()) + MIX_REST)!r} END
-    * (SELECT sum(chars) FROM totals) / chars, {mixing.MAX_RATE}) AS rate
+  SELECT bucket, CASE bucket {_SHARES} ELSE {MIX_REST / (sum(MIX_WEIGHTS.values()) + MIX_REST)!r} END
+    * (SELECT sum(chars) FROM totals) / chars AS rate
   FROM totals WHERE chars > 0),
+draws AS (SELECT bucket, rate, greatest(1, CAST(ceil(rate / {mixing.DRAW_RATE}) AS BIGINT)) AS draws FROM rates WHERE rate > 0),
 steps AS (
-  SELECT bucket, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY bucket ORDER BY k) AS step
-  FROM rates, (SELECT unnest(range(0, 250)) AS k) WHERE rate > 0),
-drawn AS (
-  SELECT *, CAST('0x' || md5('{mixing.SEED}/' || key || '/count')[1:13] AS BIGINT) / 4503599627370496.0 AS u FROM docs)
+  SELECT bucket, k, sum(exp(k * ln(rate / draws) - rate / draws - lgamma(k + 1))) OVER (PARTITION BY bucket ORDER BY k) AS step
+  FROM draws, (SELECT unnest(range(0, 250)) AS k)),
+tries AS (
+  SELECT r, bucket, CAST('0x' || md5('{mixing.SEED}/' || key || '/count' || CASE WHEN j = 0 THEN '' ELSE '/' || j END)[1:13] AS BIGINT)
+    / 4503599627370496.0 AS u
+  FROM (SELECT r, bucket, key, unnest(range(0, draws)) AS j FROM docs JOIN draws USING (bucket))),
+copies AS (SELECT r, count(*) AS n FROM tries JOIN steps USING (bucket) WHERE step <= u GROUP BY r)
 SELECT doc_id, source, text, k AS mix_copy, md5('{mixing.SEED}/' || key || '/' || k) AS mix_order
-FROM drawn JOIN steps USING (bucket) WHERE step <= u"""
+FROM (SELECT r, unnest(range(0, n)) AS k FROM copies) JOIN docs USING (r)"""
 
 
 @query("op1_source_mixing", OP1_SQL)

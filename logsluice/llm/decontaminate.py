@@ -258,12 +258,16 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
         "contaminated", F.col("n_hit") > 0)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that hold an item's window or nearly a whole item; all their columns.
 
-    All rows of such an id go. A row without an id can't be named and stays.
+    The decision is the text's, so it doesn't depend on ids: rows without an id go like others, and a clean row
+    stays though a contaminated one repeats its id. Texts are told apart by a 64-bit hash. NULL and empty
+    texts stay. An empty table stays empty, and without items everything stays.
     """
-    found = contamination(docs, items, id_col=id_col, **options)
-    bad = found.filter("(contaminated OR size(near_items) > 0) AND id IS NOT NULL")
-    gone = small(cut(bad.select(F.col("id").alias("_gone")).distinct()))
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    texts = docs.select(digest.alias("digest"), F.col(text_col).alias("text"))
+    found = contamination(texts, items, id_col="digest", text_col="text", **options)
+    bad = found.filter("contaminated OR size(near_items) > 0").select(F.col("id").alias("_gone")).distinct()
+    gone = small(cut(bad))
+    return docs.join(gone, digest == gone["_gone"], "left_anti")

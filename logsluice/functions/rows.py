@@ -29,37 +29,62 @@ def each(
     return rows.filter(F.col(name).isNotNull())
 
 
-# --- Work inside one row, in O(n log n) however long its arrays are ------------------------------------
+# --- Work inside one row, in O(n log n) at most, however long its arrays are ------------------------------------
 
 BLOCK_CHARS = 256
 
 
+RUN = 32
+
+
 def running_sql(values: str, combine: str = "x + y") -> str:
-    """SQL for running totals of an array, each with its own value, by doubling steps.
+    """SQL for running totals of an array, each with its own value.
 
-    ``combine`` joins ``x`` with the total ``y`` in front of it. Growing an array element by element would
-    copy it each time.
+    ``combine`` joins ``x`` with the total ``y`` in front of it. Totals are formed within runs of ``RUN`` elements, where
+    growing an array copies little; totals of the runs are then joined in doubling steps and carried into the next runs.
     """
-    steps = f"sequence(0, greatest(CAST(ceil(log2(greatest(size({values}), 1))) AS INT) - 1, 0))"
-    return f"""aggregate({steps}, {values}, (acc, k) -> transform(acc, (x, i) ->
+    total = f"transform(array(acc[size(acc) - 1]), y -> {combine})[0]"
+    run = (
+        f"aggregate(slice(v, at + 1, {RUN}), slice(v, 1, 0), (acc, x) -> "
+        f"concat(acc, array(CASE WHEN size(acc) = 0 THEN x ELSE {total} END)))")
+    steps = "sequence(0, CAST(ceil(log2(size(runs))) AS INT) - 1)"
+    carry = f"""aggregate({steps}, transform(runs, r -> r[size(r) - 1]), (acc, k) -> transform(acc, (x, i) ->
         CASE WHEN i >= shiftleft(1, k) THEN transform(array(acc[i - shiftleft(1, k)]), y -> {combine})[0] ELSE x END))"""
+    carried = f"""transform(array({carry}), sums -> flatten(transform(runs, (r, j) ->
+        CASE WHEN j = 0 THEN r ELSE transform(array(sums[j - 1]), y -> transform(r, x -> {combine}))[0] END)))[0]"""
+    return f"""transform(array({values}), v -> CASE WHEN size(v) <= 1 THEN v
+        ELSE transform(array(transform(sequence(0, size(v) - 1, {RUN}), at -> {run})), runs ->
+          CASE WHEN size(runs) = 1 THEN runs[0] ELSE {carried} END)[0] END)[0]"""
 
 
 def running(values: Column, combine: Callable[[Column, Column], Column] | None = None) -> Column:
-    """Running totals of an array as a column; sums by default."""
+    """Running totals of an array as a column, like :func:`running_sql`; sums by default."""
     combine = combine or (lambda x, y: x + y)
 
-    def passes(array: Column) -> Column:
-        last = F.greatest(F.ceil(F.log2(F.greatest(F.size(array), F.lit(1)))).cast("int") - 1, F.lit(0))
+    def totals(v: Column) -> Column:
+        def run(at: Column) -> Column:
+            return F.aggregate(F.slice(v, at + 1, F.lit(RUN)), F.slice(v, F.lit(1), F.lit(0)), lambda acc, x: F.concat(
+                acc, F.array(F.when(F.size(acc) == 0, x).otherwise(combine(x, F.element_at(acc, -1))))))
 
+        runs = bind(F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(RUN)), run), joined)
+        return F.when(F.size(v) <= 1, v).otherwise(runs)
+
+    def joined(runs: Column) -> Column:
         def step(acc: Column, k: Column) -> Column:
             width = F.pow(F.lit(2), k).cast("int")
             return bind(width, lambda w: F.transform(acc, lambda x, i: F.when(
                 i >= w, combine(x, F.get(acc, i - w))).otherwise(x)))
 
-        return F.aggregate(F.sequence(F.lit(0), last), array, step)
+        def carried(sums: Column) -> Column:
+            return F.flatten(F.transform(runs, lambda r, j: F.when(j == 0, r).otherwise(
+                bind(F.get(sums, j - 1), lambda y: F.transform(r, lambda x: combine(x, y))))))
+
+        last = F.ceil(F.log2(F.size(runs))).cast("int") - 1
+        ends = F.transform(runs, lambda r: F.element_at(r, -1))
+        return F.when(F.size(runs) == 1, F.get(runs, 0)).otherwise(
+            bind(F.aggregate(F.sequence(F.lit(0), last), ends, step), carried))
 
-    return bind(values, passes)
+    return bind(values, totals)
 
 
 def first_flags(names: Column) -> Column:

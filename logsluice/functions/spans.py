@@ -49,20 +49,23 @@ _OPEN, _GROUP, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
 
 # No match, an empty one in particular, may start between the halves of a surrogate pair.
 _WHOLE_START = r"(?![\uDC00-\uDFFF])"
+# Characters for which a text can't be searched as it is: marks, and those that are surrogate pairs.
+_RARE = rf"'[{_OPEN}-{_CLOSE}\\x{{10000}}-\\x{{10FFFF}}]'"
 
 
 def detect_sql(text: str, detector: Detector, order: int) -> str:
     """SQL for the spans of one detector in an expression, see :func:`spans_sql`."""
-    pattern = sql_text(f"{_WHOLE_START}(?:{detector.pattern})")
-    gate = f"{text} RLIKE {pattern}"
+    pattern = f"(?:{detector.pattern})"
+    plain, whole = sql_text(pattern), sql_text(_WHOLE_START + pattern)
+    gate = f"{text} RLIKE {plain}"
     if detector.gate is not None:
         cheap = sql_text(detector.gate)
         gate = (f"contains({text}, {cheap})" if detector.gate_is_literal else f"{text} RLIKE {cheap}") + f" AND {gate}"
-    return spans_sql(text, pattern, gate, str(order), sql_text(detector.name), f"{detector.score}D", detector.in_context)
+    return spans_sql(text, plain, whole, gate, str(order), sql_text(detector.name), f"{detector.score}D", detector.in_context)
 
 
 def spans_sql(
-    text: str, pattern: str, gate: str, order: str, type_: str, score: str, in_context: bool = False,
+    text: str, plain: str, whole: str, gate: str, order: str, type_: str, score: str, in_context: bool = False,
 ) -> str:
     """SQL for the spans of a pattern; all arguments are SQL, so they may differ from row to row.
 
@@ -70,20 +73,23 @@ def spans_sql(
     totals of their lengths give the offsets.
 
     Matches, empty ones too, are those of a single run of the pattern over the whole text, so anchors
-    and lookarounds see what they should. Marks that a text already holds count as U+FFFD.
+    and lookarounds see what they should. Marks that a text already holds count as U+FFFD. ``whole`` is the
+    pattern that starts at no second half of a surrogate pair; texts without pairs do with ``plain``.
     """
     clean = (
-        f"CASE WHEN {text} RLIKE '[{_OPEN}{_GROUP}{_CLOSE}]' "
+        f"CASE WHEN {text} RLIKE '[{_OPEN}-{_CLOSE}]' "
         f"THEN translate({text}, '{_OPEN}{_GROUP}{_CLOSE}', '\ufffd\ufffd\ufffd') ELSE {text} END")
     groups = f"$1{_GROUP}$2{_GROUP}$0" if in_context else "$0"
-    marked = f"regexp_replace({clean}, {pattern}, '{_OPEN}{groups}{_CLOSE}')"
+    marked = (
+        f"CASE WHEN octet_length({text}) > length({text}) AND {text} RLIKE {_RARE} "
+        f"THEN regexp_replace({clean}, {whole}, '{_OPEN}{groups}{_CLOSE}') "
+        f"ELSE regexp_replace({text}, {plain}, '{_OPEN}{groups}{_CLOSE}') END")
     part = (lambda i: f"substring_index(substring_index(m, '{_GROUP}', {i + 1}), '{_GROUP}', -1)")
     rest = part(2) if in_context else "m"
-    whole = f"substring_index({rest}, '{_CLOSE}', 1)"
-    lead, value = (f"length({part(0)})", part(1)) if in_context else ("0", whole)
+    lead, value = (f"length({part(0)})", part(1)) if in_context else ("0", f"substring_index(m, '{_CLOSE}', 1)")
     hits = (
         f"transform(slice(pieces, 2, size(pieces) - 1), m -> named_struct('lead', {lead}, 'text', {value}, "
-        f"'whole', length({whole}), 'both', length({rest}) - 1))")
+        f"'both', length({rest}) - 1))")
     begin = "length(pieces[0]) + ends[n] - h.both + h.lead"
     span = (
         f"named_struct('start', {begin}, 'end', {begin} + length(h.text), 'ord', {order}, "
@@ -98,8 +104,8 @@ def spans_sql(
 
 def detect_by(text: str, pattern: str, order: str, type_: str, score: str) -> Column:
     """Spans of a pattern that is itself a column, as are its order, type and score."""
-    whole = f"concat({sql_text(_WHOLE_START + '(?:')}, `{pattern}`, ')')"
-    return F.expr(spans_sql(f"`{text}`", whole, f"`{text}` RLIKE {whole}", f"`{order}`", f"`{type_}`", f"`{score}`"))
+    plain, whole = (f"concat({sql_text(start + '(?:')}, `{pattern}`, ')')" for start in ("", _WHOLE_START))
+    return F.expr(spans_sql(f"`{text}`", plain, whole, f"`{text}` RLIKE {plain}", f"`{order}`", f"`{type_}`", f"`{score}`"))
 
 
 def detect(text: str, detector: Detector, order: int = 0) -> Column:

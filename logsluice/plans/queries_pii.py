@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logsluice.functions import patterns as P
 from logsluice.functions import spans as S
-from logsluice.functions.rows import each
+from logsluice.functions.rows import bind, cut_blocks, each, text_blocks
 from logsluice.operators import pattern_table, pii, redaction
 from logsluice.operators.detectors import (
     DETECTORS, canonical_type, custom_detectors, select_detectors,
@@ -443,7 +443,9 @@ def pii_spans_empty_matches(spark, folder):
     chosen = [S.Detector(f"P{i}", p) for i, p in enumerate(_EMPTY_PATTERNS)]
     found = redaction.redact_spans(
         pii.with_spans(_documents(spark, folder).select("doc_id", "text"), "text", chosen), "text", chosen)
-    placed = F.forall("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]) == s["text"])
+    # Cut from blocks: a substring starts at the front of its text, for each span anew.
+    placed = bind(text_blocks(F.col("text")), lambda blocks: F.forall(
+        "spans", lambda s: cut_blocks(blocks, s["start"], s["end"]) == s["text"]))
     kept = F.length(F.regexp_replace("redacted", r"\[REDACTED_P\d\]", ""))
     islands = F.aggregate(S.merge_overlaps(F.col("spans")), F.lit(0), lambda n, i: n + i["end"] - i["start"])
     return found.select("doc_id", placed.alias("placed"), (kept == F.length("text") - islands).alias("replaced"))

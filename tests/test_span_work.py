@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logsluice.functions import spans as S
 from logsluice.functions.rows import RUN, running, running_sql
+from logsluice.plans.queries_pii import pii_spans_empty_matches
 from logsluice.sources import rendered as R
 
 
@@ -53,3 +54,13 @@ def test_running_totals_of_any_length(spark):
         sums = None if v is None else [sum(v[:i + 1]) for i in range(len(v))]
         assert r["sql"] == sums and r["sum"] == sums
         assert r["top"] == (None if v is None else [max(v[:i + 1]) for i in range(len(v))])
+
+
+def test_places_of_spans_are_cut_from_blocks(spark, tmp_path):
+    """A substring of a long text starts at its front: with a span per word that is quadratic."""
+    text = "w\u00f6rd 1234 z \U0001F600 " * 300
+    spark.createDataFrame([(i, text, "s", "l") for i in range(4)], "doc_id long, text string, source string, lang string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    found = pii_spans_empty_matches(spark, str(tmp_path))
+    assert "substring(text" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["placed"], r["replaced"]) for r in found.collect()] == [(True, True)] * 4

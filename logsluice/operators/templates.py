@@ -170,10 +170,18 @@ def learn(
 
 def _templates(nodes: DataFrame) -> DataFrame:
     lines = nodes.groupBy(*_NODE).agg(F.sum("n").alias("lines"))
-    each = nodes.select(*_NODE, F.posexplode_outer("words").alias("place", "word"))
-    fixed = each.groupBy(*_NODE, "place").agg(F.min("word").alias("low"), F.max("word").alias("high"))
-    fixed = fixed.filter("low = high").groupBy(*_NODE).agg(
-        F.sort_array(F.collect_list(F.struct("place", F.col("low").alias("text")))).alias("literals"))
+    # Least and largest texts would sort a wide row per word; those of hashes are two numbers per place. Places that hold
+    # one hash are counted by text then, which settles what hashes can't.
+    each = nodes.select(*_NODE, F.posexplode("words").alias("place", "word"))
+    hashed = each.select(*_NODE, "place", F.xxhash64("word").alias("h"))
+    alike = hashed.groupBy(*_NODE, "place").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low = high")
+    places = alike.groupBy(*_NODE).agg(F.collect_list("place").alias("places"))
+    words = _join(nodes, places).select(*_NODE, F.explode("places").alias("place"), "words").withColumn(
+        "word", F.get("words", F.col("place")))
+    fixed = words.groupBy(*_NODE, "place", "word").agg(F.lit(1).alias("one")).groupBy(*_NODE, "place").agg(
+        F.count("*").alias("texts"), F.min("word").alias("text"))
+    fixed = fixed.filter("texts = 1").groupBy(*_NODE).agg(
+        F.sort_array(F.collect_list(F.struct("place", "text"))).alias("literals"))
     none = F.array().cast("array<struct<place:int,text:string>>")
     both = _join(lines, fixed, "left").withColumn("literals", F.coalesce("literals", none))
     both = both.withColumn("parts", _parts(F.col("shape"), F.col("literals")))

@@ -8,6 +8,7 @@ from logsluice.operators import templates
 from logsluice.plans import oracle_text as O
 from logsluice.plans.registry import query
 from logsluice.sources import rendered as R
+from logsluice.sources.tables import table
 
 EV = O.EVENTS
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S')"
@@ -27,7 +28,9 @@ def _lines(spark, folder):
         R.text('{"when": "', iso, '", "k": ', k, ', "where": {"host": "', host, '"}}')]
     which = F.col("event_id") % SHAPES
     line = F.coalesce(*[F.when(which == i, s) for i, s in enumerate(shapes)])
-    return R.typed_events(spark, folder).select("event_id", F.lit("app").alias("sourcetype"), line.alias("raw"))
+    # Dealt out in equal parts of a bounded size, as a file may be a single task.
+    events = R.with_typed_values(table(spark, folder, "events").hint("rebalance"))
+    return events.select("event_id", F.lit("app").alias("sourcetype"), line.alias("raw"))
 
 
 # Per shape the names and values that its lines hold.
